@@ -89,7 +89,7 @@ class Writer:
     def _open(self) -> None:
         d = dictionary(self.waiting)
         name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out, self.size = self.fs.open_output_stream(f"{self.path}/{name}"), 0
+        self.out, self.size = self.fs.open_output_stream(f"{self.path}/{name}", compression=None), 0
         self.names.append(name)
         raw = d.as_bytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
@@ -234,7 +234,7 @@ def read_archives(archives: DataFrame, with_html: bool = True) -> DataFrame:
             for uri in batch.column("archive").to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
                 out, held = [], 0
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     for rec in frames(f):
                         row = unpacked(*parse(rec))
                         html = row[2].decode() if with_html and row[2] is not None else None
