@@ -8,7 +8,10 @@ Equal windows have equal minimisers, so all copies of a window meet in one bucke
 no window occurs twice: its minimiser would then stand at two places, and the leftmost decides.
 
 Skew: a first pass counts word groups in a fixed number of cells; groups in overfull cells are used as
-minimisers only where a window has no other. Equal packed strings are merged before the shuffle.
+minimisers only where a window has no other. Equal packed strings are merged before the shuffle, and again as a bucket
+reads them. Buckets get no occurrences: they return the ranges of repeated strings, and a second scan joins its places
+with these by the string's 128-bit name, so a passage of a third of all rows is a skewed join that can be split.
+Packed strings travel compressed, with a dictionary of word parts.
 
 Defined results: null and empty texts have no words (n_words 0, the hash of the empty string); texts under
 WINDOW words lose nothing; rows that repeat a document lose every word that a window covers, as each window
@@ -21,6 +24,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,12 @@ HOT = 4
 MERGE_BYTES = 16 << 20
 SORT_BYTES = 32 << 20
 
-OCC = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("at", "<i4")])
+#: Bits of the bitmap of repeated strings: the bound of what is sent to every task.
+BITS = 1 << 20
+#: Low bits of a minimiser's order: its place in a step, so that the leftmost of equals wins.
+PLACE = np.uint64((1 << 30) - 1)
+#: Texts, and bytes of each, that the compression dictionary is trained on, and its size.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 32 << 10
 
 
 def _words(docs: list[bytes]):
@@ -88,57 +98,57 @@ def _count_cells(m: int, window: int):
     return run
 
 
-def _super_kmers(m: int, window: int, hot: bytes):
-    demoted = np.unpackbits(np.frombuffer(hot, np.uint8), bitorder="little").astype(np.uint64)
-    width = window - m + 1
-    low = np.uint64((1 << 24) - 1)
+class SuperKmers:
+    """Consecutive windows of one document that share their minimiser."""
 
-    def spans(docs):
-        """(first window, last window, minimiser, doc) of each super-k-mer, and the words."""
+    def __init__(self, m: int, window: int, hot: bytes):
+        self.m, self.window = m, window
+        self.demoted = np.unpackbits(np.frombuffer(hot, np.uint8), bitorder="little").astype(np.uint64)
+
+    def of(self, docs: list[bytes]):
+        """Packed string, minimiser, doc and first word in it of each super-k-mer."""
         joined, data, starts, ends, first = _words(docs)
         n = len(starts)
-        if n < window:
-            return joined, starts, ends, first, None
-        g = _groups(data, starts, ends, m)
-        order = (demoted[(g & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(63)) | ((g >> np.uint64(1)) & ~low & np.uint64((1 << 63) - 1))
-        best = (_sliding_min(order | np.arange(len(g), dtype=np.uint64), width) & low).astype(np.int64)
+        if n < self.window:
+            return [], [], [], []
+        g = _groups(data, starts, ends, self.m)
+        order = (self.demoted[(g & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(63)) | ((g >> np.uint64(1)) & ~PLACE & np.uint64((1 << 63) - 1))
+        best = (_sliding_min(order | np.arange(len(g), dtype=np.uint64), self.window - self.m + 1) & PLACE).astype(np.int64)
         doc = np.repeat(np.arange(len(docs)), np.diff(first))
-        at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
+        at = np.flatnonzero(doc[: n - self.window + 1] == doc[self.window - 1 :])
         if not len(at):
-            return joined, starts, ends, first, None
+            return [], [], [], []
         pos, owner = best[at], doc[at]
         new = np.ones(len(at), bool)
         new[1:] = (pos[1:] != pos[:-1]) | (owner[1:] != owner[:-1])
         lead = np.flatnonzero(new)
-        last = np.append(lead[1:], len(at)) - 1
-        return joined, starts, ends, first, (at[lead], at[last], g[pos[lead]].view(np.int64), owner[lead])
+        lo, hi = at[lead], at[np.append(lead[1:], len(at)) - 1]
+        packed = [joined[a:b] for a, b in zip(starts[lo].tolist(), ends[hi + self.window - 1].tolist())]
+        return packed, g[pos[lead]].view(np.int64).tolist(), owner[lead], lo - first[owner[lead]]
+
+
+def _dealt(kmers: SuperKmers, words: bytes):
+    """mini, packed (compressed), n (1, or 2 for more) of the batches' super-k-mers, equal ones merged."""
 
     def run(batches):
-        merged: dict[bytes, list] = {}
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_dict_id=False).compress
+        merged: dict[bytes, list[int]] = {}
         held = 0
 
         def flush():
-            keys = list(merged)
-            occ = [np.array(merged[k][1:], OCC).tobytes() if len(merged[k]) > 2 else np.array([merged[k][1]], OCC).tobytes() for k in keys]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([merged[k][0] for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array(occ, pa.binary())], ["mini", "packed", "occ"]
-            )
+            minis, n = zip(*merged.values())
+            return pa.RecordBatch.from_arrays([pa.array(minis, pa.int64()), pa.array([pack(p) for p in merged], pa.binary()), pa.array(n, pa.int32())], ["mini", "packed", "n"])
 
         for batch in batches:
-            text, k1, k2 = batch.column("text"), batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            text = batch.column("text")
             for a, b in steps(text):
-                joined, starts, ends, first, found = spans(texts(text.slice(a, b - a)))
-                if found is None:
-                    continue
-                lo, hi, mini, owner = found
-                for s, e, key, d, w in zip(starts[lo].tolist(), ends[hi + window - 1].tolist(), mini.tolist(), owner.tolist(), (lo - first[owner]).tolist()):
-                    packed = joined[s:e]
-                    if packed in merged:
-                        merged[packed].append((k1[a + d], k2[a + d], w))
-                        held += 32
+                packed, mini, _, _ = kmers.of(texts(text.slice(a, b - a)))
+                for p, key in zip(packed, mini):
+                    if p in merged:
+                        merged[p][1] = 2
                     else:
-                        merged[packed] = [key, (k1[a + d], k2[a + d], w)]
-                        held += e - s + 32
+                        merged[p] = [key, 1]
+                        held += len(p) + 32
                 if held > MERGE_BYTES:
                     yield flush()
                     merged.clear()
@@ -149,6 +159,32 @@ def _super_kmers(m: int, window: int, hot: bytes):
     return run
 
 
+def _name(packed: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(packed)
+
+
+def _placed(kmers: SuperKmers, bitmap: bytes):
+    """p1, p2 (the name), k1, k2, at of each super-k-mer that the bitmap may have."""
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in steps(text):
+                packed, _, owner, at = kmers.of(texts(text.slice(a, b - a)))
+                if not packed:
+                    continue
+                names = np.frombuffer(b"".join(map(_name, packed)), "<i8").reshape(-1, 2)
+                own = np.flatnonzero(bits[names[:, 0] & (BITS - 1)])
+                if len(own):
+                    row = pa.array(a + owner[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[own, 0]), pa.array(names[own, 1]), batch.column("k1").take(row), batch.column("k2").take(row), pa.array(at[own].astype(np.int32))], ["p1", "p2", "k1", "k2", "at"]
+                    )
+
+    return run
+
+
 def _edges(packed: bytes) -> tuple[list[int], list[int]]:
     gaps = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32).tolist()
     return [0, *[x + 1 for x in gaps]], [*gaps, len(packed)]
@@ -180,50 +216,46 @@ def _repeated(strings: list[bytes], counts: list[int], window: int) -> list[list
     return out
 
 
-def _count_windows(window: int):
-    def solve(rows: list[tuple[bytes, bytes]]):
-        """Word ranges [from, to) to remove, for each occurrence of the packed strings of one minimiser."""
-        by: dict[bytes, list[bytes]] = {}
-        for packed, occ in rows:
-            by.setdefault(packed, []).append(occ)
-        strings = list(by)
-        occ = [np.frombuffer(b"".join(x), OCC) for x in by.values()]
-        if len(strings) == 1:
-            if len(occ[0]) == 1:
-                return
-            yield occ[0], 0, strings[0].count(b" ") + 1
-            return
-        for k, at in enumerate(_repeated(strings, [len(x) for x in occ], window)):
-            if at:
-                at = np.sort(np.array(at))
-                cut = np.flatnonzero(np.diff(at) > window) + 1
-                for run in np.split(at, cut):
-                    yield occ[k], int(run[0]), int(run[-1]) + window
+def _count_windows(window: int, words: bytes):
+    """Word ranges lo, hi that windows which occur again cover, in the packed strings named p1, p2."""
 
     def run(batches):
-        out: list[tuple] = []
-        size = 0
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress
+        out: list[tuple[bytes, int, int]] = []
+
+        def solve(rows: dict[bytes, int]):
+            if len(rows) == 1 and 1 in rows.values():
+                return
+            counts: dict[bytes, int] = {}
+            for packed, n in rows.items():
+                whole = unpack(packed)
+                counts[whole] = counts.get(whole, 0) + n
+            strings = list(counts)
+            if len(strings) == 1:
+                out.append((_name(strings[0]), 0, strings[0].count(b" ") + 1))
+                return
+            for packed, at in zip(strings, _repeated(strings, list(counts.values()), window)):
+                if at:
+                    at = np.sort(np.array(at))
+                    for part in np.split(at, np.flatnonzero(np.diff(at) > window) + 1):
+                        out.append((_name(packed), int(part[0]), int(part[-1]) + window))
 
         def flush():
-            occ = np.concatenate([x[0] for x in out])
-            lo = np.concatenate([x[0]["at"] + x[1] for x in out])
-            hi = np.concatenate([x[0]["at"] + x[2] for x in out])
-            return pa.RecordBatch.from_arrays([pa.array(occ["k1"]), pa.array(occ["k2"]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["k1", "k2", "lo", "hi"])
+            names, lo, hi = zip(*out)
+            p = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["p1", "p2", "lo", "hi"])
 
-        key, rows = None, []
+        key, rows = None, {}
         for batch in batches:
-            for mini, packed, occ in zip(*(batch.column(c).to_pylist() for c in ("mini", "packed", "occ"))):
+            for mini, packed, n in zip(*(batch.column(c).to_pylist() for c in ("mini", "packed", "n"))):
                 if mini != key:
-                    if len(rows) > 1 or rows and len(rows[0][1]) > OCC.itemsize:
-                        for x in solve(rows):
-                            out.append(x)
-                            size += len(x[0])
-                    key, rows = mini, []
-                    if size > 50_000:
+                    solve(rows)
+                    key, rows = mini, {}
+                    if len(out) > 50_000:
                         yield flush()
-                        out, size = [], 0
-                rows.append((packed, occ))
-        out += solve(rows) if rows else []
+                        out.clear()
+                rows[packed] = min(2, rows.get(packed, 0) + n)
+        solve(rows)
         if out:
             yield flush()
 
@@ -257,25 +289,35 @@ def _removed(batches):
         )
 
 
+def _dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary, trained on at most SAMPLE texts of SAMPLE_BYTES at most; what it is changes no result."""
+    some = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("text").cast("binary").alias("text")).limit(SAMPLE).toPandas()["text"]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, [bytes(t)[k : k + 400] for t in some for k in range(0, len(t), 400)]).as_bytes()
+    except zstandard.ZstdError:  # too few texts
+        return b""
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -> DataFrame:
     """k1, k2 (see with_row_key), lo, hi: word ranges covered by windows that occur again. Ranges may overlap."""
     keyed = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", "text")
     cells = keyed.select("text").mapInArrow(_count_cells(mgram, window), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    hot = np.packbits(counts > HOT * max(1.0, counts.mean()), bitorder="little").tobytes()
-    return (
-        keyed.mapInArrow(_super_kmers(mgram, window, hot), "mini long, packed binary, occ binary")
-        .repartition("mini")
-        .sortWithinPartitions("mini")
-        .mapInArrow(_count_windows(window), "k1 long, k2 int, lo int, hi int")
-    )
+    kmers = SuperKmers(mgram, window, np.packbits(counts > HOT * max(1.0, counts.mean()), bitorder="little").tobytes())
+    words = _dictionary(keyed)
+    dealt = keyed.select("text").mapInArrow(_dealt(kmers, words), "mini long, packed binary, n int").repartition("mini").sortWithinPartitions("mini")
+    repeats = spill(dealt.mapInArrow(_count_windows(window, words), "p1 long, p2 long, lo int, hi int"), "repeats")
+    bits = np.zeros(BITS, bool)
+    bits[repeats.select(F.col("p1").bitwiseAND(F.lit(BITS - 1)).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)] = True  # at most BITS
+    places = keyed.mapInArrow(_placed(kmers, np.packbits(bits, bitorder="little").tobytes()), "p1 long, p2 long, k1 long, k2 int, at int")
+    return places.join(repeats, ["p1", "p2"]).select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of docs(doc_id, text)."""
     found = spill(repeated_ranges(docs, window, mgram), "ranges")
-    ranges = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges")
     clean, maybe = split_by_marks(with_row_key(docs.select(F.col("doc_id").cast("long"), "text")), found)
     rows = clean.select("doc_id", "text", none).unionByName(maybe.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges"))
