@@ -2,7 +2,8 @@
 
 Pieces that a worker has not met are held as one ragged array of symbols. In each round every sequence's lowest-rank
 pair is found at once, all its places in that sequence merge, and sequences without a pair retire; what is left of
-symbols is the count. Known pieces keep their counts in a bounded cache.
+symbols is the count. A piece whose order of merges could differ from one at a time is counted again that way.
+Known pieces keep their counts in a bounded cache, but for long ones.
 
 Defined results: null and empty texts have no tokens; a special token's string inside a text is one token, as the
 tokenizers library counts by default; repeated rows and null ids pass through; extra columns are ignored.
@@ -10,6 +11,7 @@ tokenizers library counts by default; repeated rows and null ids pass through; e
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -22,7 +24,9 @@ from .common import steps, texts
 from .merging import Merger
 from .pretok import pieces
 
+#: Pieces that a worker keeps, and the longest of them.
 CACHE = 300_000
+LONGEST = 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -44,8 +48,38 @@ class Counter:
         left, right = np.array(list(ranked), np.int64).reshape(-1, 2).T
         rank, made = np.array(list(ranked.values()), np.int64).reshape(-1, 2).T
         self.merger = Merger(symbol, left, right, rank, made)
+        self.ranked, self.symbol = ranked, symbol.tolist()
         self.known: dict[bytes, int] = {}
 
+    def _alone(self, piece: bytes) -> int:
+        """Tokens of a piece, one merge after another: the lowest rank first, the leftmost of equals."""
+        sym = [self.symbol[b] for b in piece]
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        heap = [(*self.ranked[p], i, p) for i, p in enumerate(zip(sym, sym[1:])) if p in self.ranked]
+        heap = [(rank, i, pair, made) for rank, made, i, pair in heap]
+        heapq.heapify(heap)
+        n = len(sym)
+        while heap:
+            _, i, pair, made = heapq.heappop(heap)
+            j = after[i]
+            if j >= len(sym) or (sym[i], sym[j]) != pair:
+                continue
+            n -= 1
+            sym[i], sym[j], after[i] = made, -1, after[j]
+            if after[i] < len(sym):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(sym) and (sym[a], sym[b]) in self.ranked:
+                    rank, made = self.ranked[sym[a], sym[b]]
+                    heapq.heappush(heap, (rank, a, (sym[a], sym[b]), made))
+        return n
+
+    def _counted(self, cut: list[bytes]) -> list[int]:
+        _, n, doubt = self.merger.merge(cut)
+        for k in np.flatnonzero(doubt).tolist():
+            n[k] = self._alone(cut[k])
+        return n.tolist()
+
     def count(self, rows: list[bytes]) -> np.ndarray:
         """Tokens of each row."""
         parts, owner, extra = rows, None, np.zeros(len(rows), np.int64)
@@ -62,8 +96,10 @@ class Counter:
             if len(known) + len(new) > CACHE:
                 known.clear()
                 new = list(set(cut))
-            known.update(zip(new, self.merger.merge(new)[1].tolist()))
+            known.update(zip(new, self._counted(new)))
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum([known[p] for p in cut], dtype=np.int64)))
+        for p in {p for p in cut if len(p) > LONGEST}:
+            del known[p]
         n = total[first[1:]] - total[first[:-1]]
         return extra + (n if owner is None else np.bincount(owner, weights=n, minlength=len(rows)).astype(np.int64))
 

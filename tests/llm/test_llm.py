@@ -160,7 +160,28 @@ def test_token_counts(spark, docs, empty, corpus):
     same([tuple(r) for r in got], [(d, len((t or "").encode()), count(t), count(t) > 1024) for d, t in corpus])
     assert tokencount.count_tokens(empty, TOKENIZER).count() == 0
     odd = ["a<|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|>", "x <|endoftext", "'s's 're  \n "]
-    assert tokencount._loaded(TOKENIZER).count([o.encode() for o in odd]).tolist() == [count(o) for o in odd]
+    c = tokencount._loaded(TOKENIZER)
+    assert c.count([o.encode() for o in odd]).tolist() == [count(o) for o in odd]
+    long = ["z" * 5000, "ab" * 900, "日本" * 500]
+    assert c.count([o.encode() for o in long]).tolist() == [count(o) for o in long]
+    assert not any(len(p) > tokencount.LONGEST for p in c.known)
+    pieces = ["hello", "aaaaaaa", "unbelievably", "z" * 300, "é日本"]
+    assert [c._alone(p.encode()) for p in pieces] == [count(p) for p in pieces]
+
+
+def test_counts_in_doubt():
+    # merging ab twice at once would take the second from b-c, which ranks lower once the first is made
+    letters = tokencount._byte_letters()
+    merges = [("ab", "a"), ("a", "b"), ("b", "c")]
+    vocab = {letter: k for k, letter in enumerate(letters)} | {"aba": 300, "ab": 301, "bc": 302}
+    c = tokencount.Counter({"model": {"vocab": vocab, "merges": merges}})
+    for text in (b"abab", b"ababab", b"abcab", b"aabb", b"a", b""):
+        sym = [chr(x) for x in text]
+        while found := [(merges.index(p), k) for k, p in enumerate(zip(sym, sym[1:])) if p in merges]:
+            k = min(found)[1]
+            sym[k : k + 2] = ["".join(sym[k : k + 2])]
+        assert c._counted([text] if text else []) == ([len(sym)] if text else [])
+        assert not text or c._alone(text) == len(sym)
 
 
 def test_quality(spark, empty):
