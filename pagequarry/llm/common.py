@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time (a longer single text is still taken whole).
 STEP_BYTES = 1 << 20
+#: Rows that it holds at most, so that many short texts don't make it large.
+STEP_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +90,11 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def steps(column: pa.Array, limit: int = STEP_BYTES):
-    """Ranges of rows with about limit bytes of text each."""
+    """Ranges of rows with about limit bytes of text each, STEP_ROWS of them at most."""
     _, off = buffers(column)
     at, n = 0, len(off) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        to = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
         yield at, to
         at = to
 
