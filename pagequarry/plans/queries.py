@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.stats import half_up, level_to_grade, unique_in, upper_median
-from ..operators import classify, facets, geometry, grade, link, select, store
+from ..functions.stats import half_up, level_to_grade, picked, unique_in, upper_median
+from ..operators import classify, facets, geometry, grade, layout, link, select, store
 from ..streaming.ingest import ingest_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,11 +198,11 @@ def dominant_series(spark, sf_dir):
 
 
 @query(
-    """with l as (select *, lag(turn) over (partition by conv_id % 16 order by conv_id, turn, role, text) as p from conversations)
-    select conv_id, turn, 1 + cast(sum(case when turn <= p then 1 else 0 end) over (partition by conv_id % 16 order by conv_id, turn, role, text rows unbounded preceding) as bigint) as section from l"""
+    """with l as (select *, lag(turn) over (partition by conv_id // 16 order by conv_id, turn, role, text) as p from conversations)
+    select conv_id, turn, 1 + cast(sum(case when turn <= p then 1 else 0 end) over (partition by conv_id // 16 order by conv_id, turn, role, text rows unbounded preceding) as bigint) as section from l"""
 )
 def section_restart(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("shelf", F.col("conv_id") % 16)
+    c = table(spark, sf_dir, "conversations").withColumn("shelf", F.expr("conv_id div 16"))
     return geometry.section_restarts(c, ["shelf"], ["conv_id", "turn", "role", "text"], "turn").select("conv_id", "turn", F.col("section").cast("long").alias("section"))
 
 
@@ -266,18 +266,20 @@ def greedy_pair_match(spark, sf_dir):
 
 
 @query(
-    _BLOCKS
-    + """, i as (select user_id, block, min(tm) as s, max(tm) + 1 as t from b group by 1, 2), j as (select user_id % 50 as shelf, user_id * 10000 + block as id, s, t from i where block <= 3)
-    select cast(l.id as bigint) as a, cast(r.id as bigint) as b from j l join j r on l.shelf = r.shelf and l.id < r.id where least(l.t, r.t) - greatest(l.s, r.s) > 0.5 * least(l.t - l.s, r.t - r.s)"""
+    """with i as (select o_custkey as customer, l_orderkey as id, min(l_shipdate) as s, max(l_shipdate) + interval 1 day as t from lineitem join orders on l_orderkey = o_orderkey group by 1, 2),
+    j as (select customer, id, epoch(s) as s, epoch(t) as t from i)
+    select l.id as a, r.id as b from j l join j r on l.customer = r.customer and l.id < r.id where least(l.t, r.t) - greatest(l.s, r.s) > 0.5 * least(l.t - l.s, r.t - r.s)"""
 )
 def overlap_pairs(spark, sf_dir):
-    i = _blocks(spark, sf_dir).groupBy("user_id", "block").agg(F.min("at").alias("s"), (F.max("at") + 1).alias("t")).where("block <= 3")
-    j = i.select((F.col("user_id") % 50).alias("shelf"), (F.col("user_id") * 10000 + F.col("block")).cast("long").alias("id"), "s", "t")
-    return geometry.overlap_pairs(j, ["shelf"], "id", "s", "t").select("a", "b")
+    """Orders of a customer whose shipping times overlap."""
+    at = F.col("l_shipdate").cast("timestamp").cast("double")
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(at).alias("s"), (F.max(at) + 86400).alias("t"))
+    j = i.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")), "id")
+    return geometry.overlap_pairs(j, ["customer"], "id", "s", "t").select("a", "b")
 
 
-_RESTORE = """with live as (select doc_id, text, lang, source, n_chars from documents where doc_id % 3 <> 0),
-back as (select doc_id, case when doc_id % 5 = 0 then null else upper(lang) || text end as text, 'b-' || lang as lang, source, n_chars + 1 as n_chars from documents where doc_id % 2 = 0) """
+_RESTORE = """with live as (select doc_id, text, lang, source, n_chars from documents),
+back as (select doc_id + 7 as doc_id, case when n_chars > 1000 then null else upper(lang) || text end as text, 'b-' || lang as lang, source, n_chars + 1 as n_chars from documents) """
 
 
 @query(
@@ -288,21 +290,20 @@ back as (select doc_id, case when doc_id % 5 = 0 then null else upper(lang) || t
     from live l full outer join back b using (doc_id)"""
 )
 def restore_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    live = d.where("doc_id % 3 <> 0")
-    back = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.concat(F.upper("lang"), "text")).alias("text"), F.concat(F.lit("b-"), "lang").alias("lang"), "source", (F.col("n_chars") + 1).alias("n_chars"))
+    live = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    back = live.select((F.col("doc_id") + 7).alias("doc_id"), F.when(~F.coalesce(F.col("n_chars") > 1000, F.lit(False)), F.concat(F.upper("lang"), "text")).alias("text"), F.concat(F.lit("b-"), "lang").alias("lang"), "source", (F.col("n_chars") + 1).alias("n_chars"))
     return store.merge_restored(live, back, "doc_id", image=["text"], bundle=["source"], marker="source")
 
 
 @query(
-    "with n as (select c_custkey as id, 'new' as name, 1.0 as bal from customer where c_custkey % 10 = 0 union all select -c_custkey, 'added', 2.0 from customer where c_custkey % 100 = 0) "
+    "with n as (select s_suppkey as id, s_name as name, s_acctbal as bal from supplier union all select -1 - n_nationkey, n_name, 0.0 from nation) "
     "select id, name, cast(bal as double) as bal from n union all select c_custkey, c_name, c_acctbal from customer where c_custkey not in (select id from n)"
 )
 def upsert_rows(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    old = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
-    new = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("name"), F.lit(1.0).alias("bal"))
-    new = new.unionByName(c.where("c_custkey % 100 = 0").select((-F.col("c_custkey")).alias("id"), F.lit("added").alias("name"), F.lit(2.0).alias("bal")))
+    """Suppliers and nations put over customers."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    new = new.unionByName(table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(0.0).alias("bal")))
     return store.upsert(old, new)
 
 
@@ -429,12 +430,9 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"), F.nullif(F.regexp_extract(h, "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
 
 
-@query("select l_returnflag, round(list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1], 6) as upper_median, round(list_sort(list(l_quantity))[(len(list(l_quantity)) - 1) // 4 + 1], 6) as lower_quartile from (select l_returnflag, l_orderkey % 1000 as g, l_quantity from lineitem) where g = 0 group by 1")
+@query("select l_returnflag, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] as upper_median, list_sort(list(l_quantity))[(len(list(l_quantity)) - 1) // 4 + 1] as lower_quartile from lineitem group by 1")
 def order_statistics(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 1000 = 0").groupBy("l_returnflag").agg(F.collect_list("l_quantity").alias("q"))
-    from ..functions.stats import lower_quartile
-
-    return x.select("l_returnflag", F.round(upper_median(F.col("q")), 6).alias("upper_median"), F.round(lower_quartile(F.col("q")), 6).alias("lower_quartile"))
+    return picked(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", upper_median=lambda n: F.floor(n / 2), lower_quartile=lambda n: F.floor((n - 1) / 4))
 
 
 @query("with n as (select l_orderkey, l_linenumber, l_shipdate, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) as k from lineitem) select l_orderkey, string_agg(cast(l_linenumber as varchar), ',' order by k) as lines from n group by 1")
@@ -454,3 +452,31 @@ def set_except(spark, sf_dir):
 def set_intersect(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.where("n_chars < 100").select("lang").intersect(d.where("n_chars > 5000").select("lang"))
+
+
+def _exams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as an exam, its order lines as entries."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    size = lambda n: (F.col("l_quantity") * n).cast("int")
+    solved = F.col("l_returnflag") != "N"
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("exam"), (F.row_number().over(order) - 1).alias("entry"), size(16).alias("w"), size(20).alias("h"), F.lit(2.0).alias("scale"),
+        size(12).alias("solution_w"), F.when(solved, size(9)).alias("solution_h"), F.lit(2.0).alias("solution_scale"), F.when(solved, F.col("l_returnflag")).alias("answer"),
+    )
+
+
+@query(
+    """
+with e as (select l_suppkey as exam, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 as entry, case when l_returnflag <> 'N' then l_returnflag end as answer from lineitem),
+s as (select *, bool_or(answer is not null) over (partition by exam) as answered from e)
+select exam, cast(entry // 3 as int) as row, string_agg(cast(entry + 1 as varchar) || '. ' || coalesce(answer, '-'), '      ' order by entry) as text
+from s where answered group by exam, entry // 3
+"""
+)
+def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.answer_key(_exams(spark, sf_dir), ["exam"], columns=2)
+
+
+@query()
+def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout_plan(_exams(spark, sf_dir), ["exam"], columns=2)

@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagequarry.functions import raster
-from pagequarry.operators import classify, facets, geometry, grade, lines, link, segment, select, store
+from pagequarry.operators import classify, facets, geometry, grade, layout, lines, link, segment, select, store
 from pagequarry.sources import connectors
 from pagequarry.streaming import ingest
 
@@ -227,3 +227,34 @@ def test_page_stream(spark, tmp_path):
 def test_log_collapse(spark):
     df = spark.createDataFrame([(1, "page 1/9"), (2, "page 2/9"), (3, "done"), (4, "page 3/9")], "t int, m string")
     assert [r.t for r in ingest.collapse_log(df, "t", "m").orderBy("t").collect()] == [1, 3, 4]
+
+
+def exam(spark, heights, **k):
+    rows = [("e", i, 400, h, 2.0, 400 if i % 2 else None, 200 if i % 2 else None, None, str(i) if i != 1 else None) for i, h in enumerate(heights)]
+    return spark.createDataFrame(rows, "exam string, entry int, w int, h int, scale double, solution_w int, solution_h int, solution_scale double, answer string")
+
+
+def test_answer_key(spark):
+    got = {r.row: r.text for r in layout.answer_key(exam(spark, [10] * 7), ["exam"]).collect()}
+    assert got == {0: "1. 0      2. -      3. 2      4. 3      5. 4", 1: "6. 5      7. 6"}
+    assert layout.answer_key(exam(spark, [10] * 7), ["exam"], 2).count() == 3
+    assert layout.answer_key(exam(spark, [10] * 3).withColumn("answer", F.lit(None).cast("string")), ["exam"]).count() == 0
+
+
+def test_layout_plan(spark):
+    entries = exam(spark, [300, 500, 900, 300, 5000, 40])
+    for columns in (1, 2):
+        for mode in ("pair", "separate"):
+            plan = layout.layout_plan(entries, ["exam"], columns, mode).orderBy("block").collect()
+            assert {r.entry for r in plan if r.kind == "problem"} == set(range(6)) == {r.entry for r in plan if r.kind == "header"}
+            assert sum(r.kind == "solution" for r in plan) == 3 == sum(r.kind == "no_solution" for r in plan)
+            assert all(r.y >= layout.MARGIN and r.y + r.h <= layout.BOTTOM + 1e-9 and r.w <= layout.column_width(columns) + 1e-9 for r in plan)
+            at = [(r.page, r.col, r.y) for r in plan]
+            assert at == sorted(at) and len(set(at)) == len(at)
+            assert sum(r.kind == "key_row" for r in plan) == (2 if columns == 1 else 2)
+            assert sum(r.kind == "chapter" for r in plan) == (2 if mode == "separate" else 1)
+            first = plan[0]
+            assert (first.page, first.col, first.y) == (1, 0, layout.MARGIN + layout.TITLE + layout.UNDERLINE)
+    head = [r for r in layout.layout_plan(exam(spark, [900, 900]), ["exam"], 1, "separate", key=False).collect() if r.entry == 1 and r.kind in ("header", "problem")]
+    assert len({(r.page, r.col) for r in head}) == 1  # a problem stays with its header
+    assert layout.layout_plan(entries.limit(0), ["exam"]).count() == 0
