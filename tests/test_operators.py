@@ -139,12 +139,36 @@ def test_numbering_and_chain():
     assert [m.num for m in chain] == [1, 2, 3, 4, 5]
 
 
+def visual(*ys, page=1, score=0.6):
+    return [mark(0, y, page=page, style="visual", score=score) for y in ys]
+
+
+def shown(marks):
+    return [f"{m.section}-{m.num}" + "*" * m.inferred for m in marks]
+
+
 def test_visual_fallback():
-    starts = [mark(0, y, style="visual", score=0.6) for y in (100, 300, 500)]
-    assert [(m.num, m.inferred) for m in segment.fill_visual([], starts)] == [(1, True), (2, True), (3, True)]
-    known = segment.number_sections([mark(1, 100), mark(4, 700)])
-    got = segment.fill_visual(known, [mark(0, y, style="visual", score=0.6) for y in (300, 500)])
-    assert [m.num for m in got] == [1, 2, 3, 4] and [m.inferred for m in got] == [False, True, True, False]
+    assert shown(segment.number_items([], visual(100, 300, 500))) == ["1-1*", "1-2*", "1-3*"]
+    assert shown(segment.number_items([mark(1, 100), mark(4, 700)], visual(300, 500))) == ["1-1", "1-2*", "1-3*", "1-4"]
+    # a start on a known line is no item, and more starts than missing numbers leave the surest
+    assert shown(segment.number_items([mark(1, 100), mark(3, 700), mark(4, 790)], visual(103, 300, 400, 500))) == ["1-1", "1-2*", "1-3", "1-4"]
+
+
+def test_numbering_of_restarts():
+    known = [mark(n, 100 * n) for n in (1, 2, 3)] + [mark(n, 100 * n, page=2) for n in (3, 4)]
+    assert shown(segment.number_items(known, visual(100, 200, page=2))) == ["1-1", "1-2", "1-3", "2-1*", "2-2*", "2-3", "2-4"]
+    again = [mark(n, 100 * n) for n in (1, 2)] + [mark(n, 100 * n, page=2) for n in (1, 2)]
+    assert shown(segment.number_items(again, [])) == ["1-1", "1-2", "2-1", "2-2"]
+
+
+def test_numbering_of_misread_numbers():
+    odd = segment.number_items([mark(1, 100), mark(2, 200), mark(3, 300), mark(2, 400, score=0.6), mark(9, 500)], [])
+    assert shown(odd) == ["1-1", "1-2", "1-3", "1-4*", "1-9"] and odd[3].ocr_number == 2
+    # inferred numbers that overran reliable ones make room
+    over = segment.number_items([mark(1, 100)] + [mark(n, 100 * n, page=2) for n in (3, 4)], visual(300, 400, 500, 600, 700))
+    assert shown(over) == ["1-1", "1-2*", "1-3", "1-4"]
+    labelled = segment.number_items([mark(1, 100, label="예제", section=1, style="label"), mark(2, 200, label="예제", section=1, style="label"), mark(1, 300, label="예제", section=2, style="label"), mark(1, 400, label="예제", section=2, style="label")], [])
+    assert shown(labelled) == ["1-1", "1-2", "2-1", "2-2"]
 
 
 def test_segment_end_to_end(spark):
