@@ -99,7 +99,8 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def _learn(self, cut: list[bytes], known: dict[bytes, bytes]) -> None:
+    def _learn(self, cut: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+        """Put pieces that are new into known; the long ones of these, which aren't to stay."""
         new = list({p for p in cut if p not in known})
         short = [p for p in new if len(p) <= LONGEST and p not in self.ranks]
         if short:
@@ -110,6 +111,7 @@ class Vocabulary:
         for p in new:
             got = self.merged(p)
             known[p] = struct.pack(f"<{len(got)}I", *got)
+        return [p for p in new if len(p) > LONGEST]
 
     def encode(self, rows: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each row."""
@@ -117,9 +119,9 @@ class Vocabulary:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        self._learn(cut, known)
+        long = self._learn(cut, known)
         ids = [known[p] for p in cut]
-        for p in {p for p in cut if len(p) > LONGEST}:
+        for p in long:
             del known[p]
         edges = first.tolist()
         return [b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])]

@@ -98,8 +98,9 @@ class Counter:
                 new = list(set(cut))
             known.update(zip(new, self._counted(new)))
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum([known[p] for p in cut], dtype=np.int64)))
-        for p in {p for p in cut if len(p) > LONGEST}:
-            del known[p]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
         n = total[first[1:]] - total[first[:-1]]
         return extra + (n if owner is None else np.bincount(owner, weights=n, minlength=len(rows)).astype(np.int64))
 
