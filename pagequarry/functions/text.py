@@ -177,13 +177,12 @@ def hangul_count(c: Column) -> Column:
     return F.length(F.coalesce(c, F.lit(""))) - F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[가-힣]", ""))
 
 
-#: LaTeX symbol names and what they print as.
+#: LaTeX symbol names and what they print as; other names print as they are.
 LATEX_SYMBOLS = {
-    "times": "×", "div": "÷", "cdot": "·", "pm": "±", "mp": "∓", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠",
-    "approx": "≈", "equiv": "≡", "infty": "∞", "to": "→", "rightarrow": "→", "leftarrow": "←", "in": "∈", "notin": "∉", "subset": "⊂",
-    "cup": "∪", "cap": "∩", "emptyset": "∅", "sum": "∑", "prod": "∏", "int": "∫", "partial": "∂", "angle": "∠", "triangle": "△", "perp": "⊥",
-    "parallel": "∥", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ",
-    "phi": "φ", "omega": "ω", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω", "ldots": "…", "cdots": "⋯", "quad": " ", "left": "", "right": "",
+    "int": "∫", "iint": "∬", "oint": "∮", "sum": "Σ", "prod": "Π", "to": "→", "rightarrow": "→", "infty": "∞", "sqrt": "√", "times": "×", "cdot": "·", "div": "÷", "pm": "±",
+    "circ": "∘", "in": "∈", "notin": "∉", "subset": "⊂", "subseteq": "⊆", "supset": "⊃", "supseteq": "⊇", "cup": "∪", "cap": "∩", "emptyset": "∅", "varnothing": "∅",
+    "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠", "pi": "π", "theta": "θ", "alpha": "α", "beta": "β", "angle": "∠", "triangle": "△", "perp": "⊥", "parallel": "∥",
+    "overline": "", "vec": "", "left": "", "right": "", "displaystyle": "", "quad": " ", "qquad": " ",
 }
 
 
@@ -196,15 +195,16 @@ def latex_to_plain(c: Column, rounds: int = 6) -> Column:
     """Text, root and fraction commands from the inside out, then symbol names; braces and dollar signs go."""
     c = F.coalesce(c, F.lit(""))
     for _ in range(rounds):
-        c = F.regexp_replace(c, r"\\(?:text|mathrm|mathbf|mbox|operatorname)\s*\{([^{}]*)\}", "$1")
+        c = F.regexp_replace(c, r"\\(?:text|mathrm|operatorname)\s*\{([^{}]*)\}", "$1")
         c = F.regexp_replace(c, r"\\sqrt\s*\{([^{}]*)\}", "√($1)")
-        c = F.regexp_replace(c, r"\\d?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "($1)/($2)")
+        c = F.regexp_replace(c, r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "($1)/($2)")
     c = _latex_names(c)
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"\\[,;:! ]", " "), r"[{}$\\]", ""))
+    bare = F.regexp_replace(F.regexp_replace(c, r"\\[,;:! ]", " "), r"[{}$]", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), rf"^{WS}+|{WS}+$", "")
 
 
 def ai_key(problem_number: Column) -> Column:
-    """Letters and last number of a problem's printed label; null without a number."""
+    """'letters|last number' of a problem's printed label, Hangul and Latin letters alone; null without a number."""
     n = last_integer(problem_number)
-    letters = F.regexp_replace(F.coalesce(problem_number, F.lit("")), r"[^\p{L}]", "")
-    return F.when(n.isNotNull(), F.concat(letters, n.cast("string")))
+    letters = F.regexp_replace(F.coalesce(problem_number, F.lit("")), "[^가-힣A-Za-z]", "")
+    return F.when(n.isNotNull(), F.concat_ws("|", letters, n.cast("string")))

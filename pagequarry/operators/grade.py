@@ -14,20 +14,21 @@ LEVELS = {"auto": (1, 9), "concept": (4, 9), "basic": (3, 8), "advanced": (2, 6)
 WEIGHTS = {"sol": 0.35, "pts": 0.30, "pos": 0.20, "height": 0.15, "len": 0.10, "kw": 0.10}
 
 
-def features(number: Column, section_max: Column, height: Column, page_height: Column, text: Column, keywords: Column, points: Column, sol_height: Column, sol_text: Column) -> dict[str, Column]:
-    """What a problem's difficulty shows in: place in its section, size, length, keywords, points and its solution's size."""
-    tall = lambda h: F.log1p(10 * h / page_height)
+def features(number: Column, section_max: Column, height: Column, page_height: Column, text: Column, keywords: Column, points: Column, sol_id: Column, sol_height: Column, sol_page_height: Column, sol_text: Column) -> dict[str, Column]:
+    """What a problem's difficulty shows in: place in its section, size, length, keywords, points and its solution's size (null without one)."""
+    tall = lambda h, page: F.log1p(10 * F.coalesce(h, F.lit(0)) / F.coalesce(F.nullif(page, F.lit(0)), F.lit(1)))
+    long = lambda t: F.log1p(F.coalesce(nonspace_len(t), F.lit(0)))
     return {
-        "pos": number / F.nullif(section_max, F.lit(0)),
-        "height": tall(height),
-        "len": F.log1p(nonspace_len(text)),
+        "pos": F.when(section_max > 1, (number - 1) / (section_max - 1)).otherwise(0.5),
+        "height": tall(height, page_height),
+        "len": long(text),
         "kw": keywords.cast("double"),
         "pts": points.cast("double"),
-        "sol": tall(sol_height) + 0.3 * F.log1p(nonspace_len(sol_text)),
+        "sol": F.when(sol_id.isNotNull(), tall(sol_height, sol_page_height) + 0.3 * long(sol_text)),
     }
 
 
-def composite_grade(df: DataFrame, scored: dict[str, float], group: list[str], ident: str, hard: int = 1, easy: int = 9, digits: int = 9) -> DataFrame:
+def composite_grade(df: DataFrame, scored: dict[str, float], group: list[str], ident: str, hard: int | Column = 1, easy: int | Column = 9, digits: int = 9) -> DataFrame:
     """df with heur_score and grade_heur: z-scores within group, weighted over those present, ranked without ties (ident last), spread over easy..hard."""
     part = Window.partitionBy(*group)
     z = {c: zscore(F.col(c).cast("double"), part) for c in scored}

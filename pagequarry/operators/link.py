@@ -13,13 +13,12 @@ def match_by_key(problems: DataFrame, solutions: DataFrame, scope: list[str], fu
 
     Two equi-joins and windows; scope columns (a book) are part of every key. Inputs with an inferred column leave those rows out.
     """
-    if "inferred" in problems.columns:
-        problems = problems.where(~F.coalesce("inferred", F.lit(False)))
+    read = ~F.coalesce("inferred", F.lit(False)) if "inferred" in problems.columns else F.lit(True)
     keys, shorts = [*scope, *full], [*scope, *short]
     last = solutions.groupBy(*keys).agg(F.max(solution_id).alias("by_full"))
     lone = solutions.groupBy(*shorts).agg(F.max(solution_id).alias("by_short"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     alone = Window.partitionBy(*shorts)
-    x = problems.select(problem_id, *dict.fromkeys(keys + shorts)).withColumn("_own", F.count("*").over(alone))
+    x = problems.select(problem_id, *dict.fromkeys(keys + shorts), read.alias("_read")).withColumn("_own", F.count("*").over(alone)).where("_read")
     x = x.join(last, keys, "left").join(lone, shorts, "left")
     candidate = F.coalesce("by_full", F.when(F.col("_own") == 1, F.col("by_short")))
     x = x.select(problem_id, candidate.alias(solution_id), F.when(F.col("by_full").isNotNull(), "full").otherwise("short").alias("tier")).where(F.col(solution_id).isNotNull())
@@ -31,12 +30,14 @@ def match_by_key(problems: DataFrame, solutions: DataFrame, scope: list[str], fu
 
 def match_greedy(problems: DataFrame, solutions: DataFrame, scope: list[str], taken: DataFrame) -> DataFrame:
     """Second pass: problems(problem_id, seq, keys: wanted keys in order) of each scope in turn, those with a read number (has_number) first,
-    take the first unclaimed solution(solution_id, key) among their keys. A row's second choice may be a later row's first, so each scope runs in order."""
+    take the first unclaimed solution(solution_id, key) among their keys (of repeated keys only the last solution counts). A row's second choice may be a later row's first, so each scope runs in order."""
     p = problems.join(taken.select("problem_id"), "problem_id", "left_anti").select(*scope, "problem_id", "seq", "has_number", "keys")
-    s = solutions.join(taken.select("solution_id"), "solution_id", "left_anti").select(*scope, "solution_id", "key")
+    last = solutions.groupBy(*scope, "key").agg(F.max("solution_id").alias("solution_id"))
+    s = last.join(taken.select("solution_id"), "solution_id", "left_anti")
+    s = s.select(*[F.col(c).alias(f"_s_{c}") for c in scope], "solution_id", "key")  # names of its own: both sides may stem from one table
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = dict(zip(right.sort_values("solution_id")["key"], right.sort_values("solution_id")["solution_id"]))
+        free = dict(zip(right["key"], right["solution_id"]))
         out = []
         for row in left.sort_values(["has_number", "seq", "problem_id"], ascending=[False, True, True]).itertuples():
             for k in row.keys:
@@ -46,7 +47,7 @@ def match_greedy(problems: DataFrame, solutions: DataFrame, scope: list[str], ta
         return pd.DataFrame(out, columns=["problem_id", "solution_id"])
 
     kind = dict(problems.dtypes)["problem_id"], dict(solutions.dtypes)["solution_id"]
-    return p.groupBy(*scope).cogroup(s.groupBy(*scope)).applyInPandas(pair, f"problem_id {kind[0]}, solution_id {kind[1]}").withColumn("solution_inferred", F.lit(True))
+    return p.groupBy(*scope).cogroup(s.groupBy(*[f"_s_{c}" for c in scope])).applyInPandas(pair, f"problem_id {kind[0]}, solution_id {kind[1]}").withColumn("solution_inferred", F.lit(True))
 
 
 def match_spatial(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:

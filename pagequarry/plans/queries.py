@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stats import half_up, level_to_grade, picked, unique_in, upper_median
-from ..operators import classify, facets, geometry, grade, layout, link, select, store
+from ..operators import classify, facets, flow, geometry, grade, layout, link, review, select, store
 from ..streaming.ingest import ingest_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,3 +480,76 @@ def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_plan(_exams(spark, sf_dir), ["exam"], columns=2)
+
+
+@query(
+    """
+with p as (select *, doc_id + case when doc_id % 3 = 0 then 1 else 0 end as number from documents)
+select doc_id, array_to_string(list_filter([case when lang = 'de' then 'several' end, case when contains(coalesce(text, ''), '@') or contains(coalesce(source, ''), '@') then 'unreadable' end,
+    case when doc_id <> number then 'number' end, case when n_chars > 5000 then 'stale' end], lambda x: x is not null), ',') as flags from p
+"""
+)
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as what a model read, and what is wrong with it."""
+    d = table(spark, sf_dir, "documents")
+    problem = F.struct(F.col("doc_id").cast("string").alias("problem_number"), F.lit(None).cast("string").alias("passage"), F.col("text").alias("question"), F.array("source").alias("choices"))
+    found = F.when(F.col("lang") == "de", F.array(problem, problem)).otherwise(F.array(problem))
+    number = (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("int")
+    return d.select("doc_id", F.array_join(review.review_flags(found, F.lit(0), number, F.col("n_chars") > 5000, marker="@"), ",").alias("flags"))
+
+
+@query(
+    r"""
+with x as (select conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as t from conversations),
+y as (select *, regexp_replace(regexp_replace(t, '[(（]\s*단\s*[,，].*$', ''), '[\s.。,|)\]】]+$', '') as bare, regexp_matches(t, '^[①-⑳❶-❿]') as circled from x where t <> ''),
+z as (select *, (regexp_matches(bare, '[?？]$') and not regexp_matches(bare, '까\s*[?？]$')) or regexp_matches(bare, '(시\s*오|여\s*라)$') as asks,
+    circled or regexp_matches(t, '^[(（]?\s*단\s*[,，]') or regexp_matches(t, '^[(（]\s*[가나다라마]\s*[)）]|^[ㄱㄴㄷㄹㅁ]\s*[.．]') as aside, length(regexp_replace(t, '[^가-힣]', '', 'g')) >= 3 as worded from y)
+select conv_id, bool_or(regexp_matches(t, '\[\s*[0-9]\s*점\s*\]|<\s*보\s*기\s*>') or regexp_matches(t, '[①-⑳❶-❿].*[①-⑳❶-❿]'))
+    or count(distinct case when circled and length(regexp_replace(t, '\s', '', 'g')) <= 16 then t[1] end) >= 3
+    or coalesce(max_by(asks, (turn, asks)) filter (not aside and (asks or worded)), false) as is_problem
+from z group by 1
+"""
+)
+def problem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose last stem asks a question."""
+    return review.problem_blocks(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+
+
+@query(
+    """
+select o_orderkey as id, coalesce(nullif(case when o_orderstatus = 'F' then '' when o_orderstatus = 'P' then o_orderpriority end, ''), nullif(c_mktsegment, ''), '(미정)') as subject
+from orders join customer on o_custkey = c_custkey
+"""
+)
+def pool_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as problems of their customers' books."""
+    said = F.when(F.col("o_orderstatus") == "F", "").when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
+    problems = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("book_id"), said.alias("subject_llm"))
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("subject"))
+    return flow.load_pool(problems, books).select("id", "subject")
+
+
+@query(
+    """
+with u as (select distinct l_orderkey, l_partkey from lineitem), h as (select p_partkey from part where p_size > 10)
+select l_orderkey as id, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as pages from u where l_partkey not in (select p_partkey from h) group by 1
+"""
+)
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items over parts as pages, of which the small ones have no picture."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("page"))).alias("fragments"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("image"))
+    return review.pages_without_image(items, pages, []).select("id", F.array_join("pages", ",").alias("pages"))
+
+
+@query()
+def book_relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's lines as a book: kept ones are problems, returned ones solutions, linked in two passes."""
+    x = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "N", "problem").otherwise("solution")
+    items = x.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_suppkey").alias("book_id"), kind.alias("kind"), F.col("l_linestatus").alias("label"), F.col("l_linenumber").alias("section"),
+        F.col("l_quantity").cast("int").alias("number"), (F.col("l_tax") > 0.06).alias("inferred"), F.when(F.col("l_tax") > 0.07, F.col("l_quantity").cast("int") + 1).alias("ocr_number"), F.col("l_returnflag").alias("answer"),
+        F.lit(None).cast("string").alias("solution_id"), F.lit(False).alias("solution_inferred"), F.lit(False).alias("answer_manual"), F.lit(False).alias("answer_llm"),
+    )
+    return flow.relink(items).where("kind = 'problem'").select("id", "solution_id", "solution_inferred", "answer")
