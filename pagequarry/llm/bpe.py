@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .common import steps, texts
+from .common import steps, texts, tidied
 from .merging import Merger
 from .pretok import pieces
 
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(a, b - a) for f in fields), listed, pa.array(n)], [*(f.name for f in fields), "ids", "n_tokens"])
 
     schema = StructType([*fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", LongType())
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -175,7 +175,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             back = [v.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(back, pa.binary())], [*(f.name for f in fields), "decoded"])
 
-    return encoded.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, StructType([*fields]).add("decoded", BinaryType()))
+    return encoded.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(tidied(run), StructType([*fields]).add("decoded", BinaryType()))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -196,4 +196,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, span_hashes, spill, steps, with_row_key
+from .common import buffers, mixed, span_hashes, spill, steps, tidied, with_row_key
 
 WIDTH = 8
 LEAST = 5
@@ -140,14 +140,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) ->
     """doc_id, k1, k2, item_id, n_hit, n_windows, coverage: the pairs of a document and an item that contaminates it."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     items = items.select("item_id", F.xxhash64("text").alias("item_key"), "text")
-    own = spill(items.mapInArrow(_scan(list(range(LEAST, WIDTH + 1)), None, ["item_id", "item_key"]), "item_id long, item_key long, h long, pos int, width int, slots array<long>"), "items")
+    own = spill(items.mapInArrow(tidied(_scan(list(range(LEAST, WIDTH + 1)), None, ["item_id", "item_key"])), "item_id long, item_key long, h long, pos int, width int, slots array<long>"), "items")
     size = own.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
     cells = own.select(F.pmod("h", F.lit(BITS)).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)  # at most BITS
     bits = np.zeros(BITS, bool)
     bits[cells] = True
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "k1", "k2", "text")
-    found = keyed.mapInArrow(_scan(widths, np.packbits(bits, bitorder="little").tobytes(), ["doc_id", "k1", "k2"]), "doc_id long, k1 long, k2 int, h long, pos int, width int, slots array<long>")
+    found = keyed.mapInArrow(tidied(_scan(widths, np.packbits(bits, bitorder="little").tobytes(), ["doc_id", "k1", "k2"])), "doc_id long, k1 long, k2 int, h long, pos int, width int, slots array<long>")
     of = own.select("item_id", "item_key", "h", "width", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pair = ["doc_id", "k1", "k2", "item_id", "item_key"]
     aligned = (

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import buffers, steps
+from .common import buffers, steps, tidied
 
 #: Labelled documents of each class in the fitted sample: the bound of what is collected and broadcast.
 PER_CLASS = 1500
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     # the drawn rows are at most 2 * per_class
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = sample.orderBy("doc_id").select("label", "text").mapInArrow(vectors, "label int, x binary").toPandas()
+    got = sample.orderBy("doc_id").select("label", "text").mapInArrow(tidied(vectors), "label int, x binary").toPandas()
     x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, GRAMS + SHAPES), np.float32)
     total = sum(counts.values())
     return Model(x, got["label"].to_numpy(np.float64), counts.get(1, 0) / total if total else 0.5)
@@ -151,4 +151,4 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Dat
             s = [m.score(features(text.slice(a, b - a))) for a, b in steps(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.concatenate(s) if s else np.zeros(0), pa.float64())], [*(f.name for f in fields), "quality_score"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, StructType([*fields]).add("quality_score", DoubleType()))
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(tidied(run), StructType([*fields]).add("quality_score", DoubleType()))

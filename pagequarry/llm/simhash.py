@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill, steps, texts, with_row_key
+from .common import spill, steps, texts, tidied, with_row_key
 
 SHINGLE = 3
 RADIUS = 2
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 out += [fingerprint(t, shingle) for t in texts(text.slice(a, b - a))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "k1", "k2", "fp"])
 
-    return with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, k1 long, k2 int, fp long")
+    return with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidied(run), "doc_id long, k1 long, k2 int, fp long")
 
 
 def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:
@@ -179,7 +179,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         at = np.flatnonzero(root != np.arange(len(x)))
         return pd.DataFrame({"u": x[at].view(np.int64), "v": x[root[at]].view(np.int64)})
 
-    return points.select("fp").mapInArrow(shards, "shard int, fp long").groupBy("shard").applyInPandas(forest, "u long, v long")
+    return points.select("fp").mapInArrow(tidied(shards), "shard int, fp long").groupBy("shard").applyInPandas(forest, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, span_hashes, spill, split_by_marks, steps, texts, with_row_key
+from .common import mixed, span_hashes, spill, split_by_marks, steps, texts, tidied, with_row_key
 
 WINDOW = 35
 MGRAM = 4
@@ -301,16 +301,16 @@ def _dictionary(docs: DataFrame) -> bytes:
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -> DataFrame:
     """k1, k2 (see with_row_key), lo, hi: word ranges covered by windows that occur again. Ranges may overlap."""
     keyed = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", "text")
-    cells = keyed.select("text").mapInArrow(_count_cells(mgram, window), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = keyed.select("text").mapInArrow(tidied(_count_cells(mgram, window)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
     kmers = SuperKmers(mgram, window, np.packbits(counts > HOT * max(1.0, counts.mean()), bitorder="little").tobytes())
     words = _dictionary(keyed)
-    dealt = keyed.select("text").mapInArrow(_dealt(kmers, words), "mini long, packed binary, n int").repartition("mini").sortWithinPartitions("mini")
-    repeats = spill(dealt.mapInArrow(_count_windows(window, words), "p1 long, p2 long, lo int, hi int"), "repeats")
+    dealt = keyed.select("text").mapInArrow(tidied(_dealt(kmers, words)), "mini long, packed binary, n int").repartition("mini").sortWithinPartitions("mini")
+    repeats = spill(dealt.mapInArrow(tidied(_count_windows(window, words)), "p1 long, p2 long, lo int, hi int"), "repeats")
     bits = np.zeros(BITS, bool)
     bits[repeats.select(F.col("p1").bitwiseAND(F.lit(BITS - 1)).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)] = True  # at most BITS
-    places = keyed.mapInArrow(_placed(kmers, np.packbits(bits, bitorder="little").tobytes()), "p1 long, p2 long, k1 long, k2 int, at int")
+    places = keyed.mapInArrow(tidied(_placed(kmers, np.packbits(bits, bitorder="little").tobytes())), "p1 long, p2 long, k1 long, k2 int, at int")
     return places.join(repeats, ["p1", "p2"]).select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
 
@@ -321,4 +321,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges")
     clean, maybe = split_by_marks(with_row_key(docs.select(F.col("doc_id").cast("long"), "text")), found)
     rows = clean.select("doc_id", "text", none).unionByName(maybe.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges"))
-    return rows.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(tidied(_removed), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

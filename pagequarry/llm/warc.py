@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, spill
+from .common import shared_dir, spill, tidied
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -218,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL
                 w.add(record(page_id, url, html[k].as_py().encode(), last, again))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in w.closed()], pa.string())], ["archive"])
 
-    return spill(rows.mapInArrow(run, "archive string"), "archives")
+    return spill(rows.mapInArrow(tidied(run), "archive string"), "archives")
 
 
 def read_archives(archives: DataFrame, with_html: bool = True) -> DataFrame:
@@ -247,4 +247,4 @@ def read_archives(archives: DataFrame, with_html: bool = True) -> DataFrame:
                     yield batch_of(out)
 
     tasks = min(max(1, archives.count()), 20_000)
-    return archives.select("archive").repartition(tasks).mapInArrow(run, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("archive").repartition(tasks).mapInArrow(tidied(run), "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
