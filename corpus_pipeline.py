@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, decontam, pii, quality, simhash
+from pagequarry.llm import bpe, decontam, nearcopies, pii, quality
 from pagequarry.llm.common import spill, table, with_row_key, without
 from pagequarry.llm.queries import RANKS
 
@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; repeated rows become one."""
-    groups = spill(simhash.near_duplicates(docs).select("k1", "k2", "first"), "groups")
+    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8), that of the smallest id; repeated rows become one."""
+    groups = spill(nearcopies.near_copies(docs).select("k1", "k2", "first"), "groups")
     rest = without(with_row_key(docs), groups.where("not first"))
     if groups.groupBy("k1", "k2").count().where("count > 1").limit(1).count():
         rest = rest.dropDuplicates(["k1", "k2"])

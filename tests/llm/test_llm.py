@@ -372,3 +372,36 @@ def test_pipeline(spark, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     v = bpe._loaded(RANKS)
     assert sorted(out) == ids and v.decode(np.array(out[702].ids, "<u4").tobytes()).decode() == masked.text
+
+
+def jaccard(a, b):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randint(100, 300)) for _ in range(120)]
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, "one two"), (903, "One  two")]
+    for k in range(60):
+        w = texts[k].split()
+        for n in range(1 + k % 9):
+            w[(n + 1) * len(w) // 11] = "changed"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000, texts[100] + " " + " ".join(texts[100].split()[:1]) + " tail"), (2001, texts[101] + " " + prose(rng, len(texts[101].split())))]
+    real = [(d, t) for d, t in rows if t]
+    root = {d: d for d, _ in rows}
+    for i, (d, t) in enumerate(real):
+        for e, u in real[:i]:
+            if jaccard(t, u) >= 0.8:
+                a, b = root[d], root[e]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    root[901] = 900
+    similar = [jaccard(texts[k], dict(rows)[1000 + k]) for k in range(60)]
+    assert sum(0.8 <= s < 0.95 for s in similar) > 20 and any(s < 0.8 for s in similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_first(spark, docs, "").collect())
+    assert kept == sorted(d for d, v in root.items() if d == v)
+    assert corpus_pipeline.keep_first(spark, docs.limit(0), "").count() == 0
