@@ -34,7 +34,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    found = spill(decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("k1", "k2"), "leaks")
+    found = spill(decontam.matches(docs, table(spark, sf_dir, "benchmark"), by_window=True).select("k1", "k2"), "leaks")
     return without(with_row_key(docs), found).select(docs.columns)
 
 

@@ -4,7 +4,9 @@ Numbers, names (capitalised inside a sentence) and units (behind a number) becom
 template words are hashed, and a document's windows are joined with the benchmark's by hash. Along one alignment the
 slots' values must map one to one (the same name in the item is the same name in the document, and the reverse):
 that catches questions with other parameters, and passes over text that only shares a template.
-A document is contaminated by an item if consistent windows cover COVERED of the item's windows.
+A document is contaminated by an item if consistent windows cover COVERED of the item's windows. With by_window, an alignment
+in which a value maps twice keeps the windows that agree with its majority mapping and those whose values are the item's
+own; without, it has no hits.
 
 Windows are looked up in a bitmap of fixed size before they are sent, so the shuffle carries what may match; the join
 itself is exact. An item of fewer words than WIDTH is one window; under LEAST words it has none. A window needs literal
@@ -16,6 +18,8 @@ an id but not the text are told apart; an empty benchmark finds nothing; extra c
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,7 +140,20 @@ def _scan(widths: list[int], bitmap: bytes | None, keys: list[str]):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
+def consistent(windows: list[dict], by_window: bool) -> list[int]:
+    """Places in the item of one alignment's windows (item_pos, slots, item_slots) that count as hits."""
+    votes: dict[int, Counter] = {}
+    for w in windows:
+        for a, b in zip(w["item_slots"], w["slots"]):
+            votes.setdefault(a, Counter())[b] += 1
+    to = {a: max(n, key=lambda b: (n[b], b == a, b)) for a, n in votes.items()}
+    owners = Counter(to.values())
+    if not by_window and (any(len(n) > 1 for n in votes.values()) or any(k > 1 for k in owners.values())):
+        return []
+    return sorted({w["item_pos"] for w in windows if w["slots"] == w["item_slots"] or all(to[a] == b and owners[b] == 1 for a, b in zip(w["item_slots"], w["slots"]))})
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, by_window: bool = False) -> DataFrame:
     """doc_id, k1, k2, item_id, n_hit, n_windows, coverage: the pairs of a document and an item that contaminates it."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     items = items.select("item_id", F.xxhash64("text").alias("item_key"), "text")
@@ -154,12 +171,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) ->
         found.join(of, ["h", "width"])
         .where(F.size("slots") == F.size("item_slots"))
         .groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.collect_set("item_pos").alias("hit"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "item_slots")))).alias("maps"))
+        .agg(F.collect_set(F.struct("item_pos", "slots", "item_slots")).alias("windows"))
     )
-    n = F.size("maps")
-    one_to_one = (F.size(F.array_distinct(F.col("maps.slots"))) == n) & (F.size(F.array_distinct(F.col("maps.item_slots"))) == n)
+
+    def judge(batches):
+        for batch in batches:
+            hit = [consistent(w, by_window) for w in batch.column("windows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in pair), pa.array(hit, pa.list_(pa.int32()))], [*pair, "hit"])
+
     return (
-        aligned.where(one_to_one)
+        aligned.select(*pair, "windows")
+        .mapInArrow(tidied(judge), "doc_id long, k1 long, k2 int, item_id long, item_key long, hit array<int>")
         .groupBy(*pair)
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"))
         .join(size, ["item_id", "item_key"])

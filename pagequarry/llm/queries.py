@@ -25,7 +25,7 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that contaminates it."""
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), by_window=True).drop("k1", "k2")
 
 
 def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,3 +405,18 @@ def test_pipeline_near_copies(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.keep_first(spark, docs, "").collect())
     assert kept == sorted(d for d, v in root.items() if d == v)
     assert corpus_pipeline.keep_first(spark, docs.limit(0), "").count() == 0
+
+
+def contaminated(spark, items, rows):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): (r.n_hit, r.n_windows) for r in decontam.matches(docs, bench, by_window=True).collect()}
+
+
+def test_one_slot_edited(spark):
+    item = "A train leaves at 9 and Maria waits 40 km away while Peter tells Maria that 9 other trains will pass before the bridge near the old town"
+    once = item.replace("tells Maria", "tells Lucy")
+    renamed = "So. " + once.replace("Peter", "Omar").replace("40", "65")
+    other = "a Train leaves at 1 and Ann waits 2 km away while Bob tells Cleo that 3 other trains"
+    got = contaminated(spark, [item], [once, renamed, other])
+    assert got.keys() == {(0, 0), (1, 0)}
