@@ -8,9 +8,12 @@ A document is contaminated by an item if consistent windows cover COVERED of the
 in which a value maps twice keeps the windows that agree with its majority mapping and those whose values are the item's
 own; without, it has no hits.
 
+A second, exact path joins windows by the words themselves, however few are literal: windows with literal words for less
+than half, items of under LEAST words, and words whose type depends on what stands before them. Coverage is taken over the
+windows with literal words for at least half and over all windows, and the larger counts.
+
 Windows are looked up in a bitmap of fixed size before they are sent, so the shuffle carries what may match; the join
-itself is exact. An item of fewer words than WIDTH is one window; under LEAST words it has none. A window needs literal
-words for at least half.
+itself is exact. An item of fewer words than WIDTH is one window. Values differ only in windows of LEAST words or more.
 
 Defined results: null and empty texts and items match nothing; repeated rows of a document count once; rows that share
 an id but not the text are told apart; an empty benchmark finds nothing; extra columns are ignored.
@@ -42,6 +45,8 @@ UNITS = (
 ).split()
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+#: Sets the exact path's hashes apart from the templates'.
+_EXACT = np.uint64(0x5851F42D4C957F2D)
 _SLOT = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 
 
@@ -122,26 +127,32 @@ def _scan(widths: list[int], bitmap: bytes | None, keys: list[str]):
                     h = _windows(template, width)
                     if not len(h):
                         continue
-                    ok = (row[: len(h)] == row[width - 1 :]) & (2 * (lits[width:] - lits[:-width]) >= width)
+                    inside = row[: len(h)] == row[width - 1 :]
                     if bits is None:
-                        ok &= (size[row[: len(h)]] == width) | (width == WIDTH)
-                    else:
-                        ok &= bits[(h & np.uint64(BITS - 1)).astype(np.int64)]
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    rows = row[at]
-                    own = batch.slice(a, b - a).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(own.column(k) for k in keys), pa.array(h[at].view(np.int64)), pa.array((at - first[rows]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(_slots(value, literal, at, width), pa.list_(pa.int64()))],
-                        [*keys, "h", "pos", "width", "slots"],
-                    )
+                        inside &= (size[row[: len(h)]] == width) | (width == WIDTH)
+                    literals = (2 * (lits[width:] - lits[:-width]) >= width) & (width >= LEAST)
+                    for exact in (False, True):
+                        if exact:
+                            h = _windows(value ^ _EXACT, width)
+                        at = np.flatnonzero(inside if exact else inside & literals)
+                        if bits is not None:
+                            for part in (0, 32):
+                                at = at[bits[((h[at] >> np.uint64(part)) & np.uint64(BITS - 1)).astype(np.int64)]]
+                        if not len(at):
+                            continue
+                        rows = row[at]
+                        own = batch.slice(a, b - a).take(pa.array(rows))
+                        slots = [[]] * len(at) if exact else _slots(value, literal, at, width)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(own.column(k) for k in keys), pa.array(h[at].view(np.int64)), pa.array((at - first[rows]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(np.full(len(at), exact)), pa.array(literals[at]), pa.array(slots, pa.list_(pa.int64()))],
+                            [*keys, "h", "pos", "width", "exact", "literals", "slots"],
+                        )
 
     return run
 
 
 def consistent(windows: list[dict], by_window: bool) -> list[int]:
-    """Places in the item of one alignment's windows (item_pos, slots, item_slots) that count as hits."""
+    """Places in the item of one alignment's windows (item_pos, exact, slots, item_slots) that count as hits."""
     votes: dict[int, Counter] = {}
     for w in windows:
         for a, b in zip(w["item_slots"], w["slots"]):
@@ -157,35 +168,40 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, by_
     """doc_id, k1, k2, item_id, n_hit, n_windows, coverage: the pairs of a document and an item that contaminates it."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     items = items.select("item_id", F.xxhash64("text").alias("item_key"), "text")
-    own = spill(items.mapInArrow(tidied(_scan(list(range(LEAST, WIDTH + 1)), None, ["item_id", "item_key"])), "item_id long, item_key long, h long, pos int, width int, slots array<long>"), "items")
-    size = own.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
-    cells = own.select(F.pmod("h", F.lit(BITS)).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)  # at most BITS
+    own = spill(items.mapInArrow(tidied(_scan(list(range(1, WIDTH + 1)), None, ["item_id", "item_key"])), "item_id long, item_key long, h long, pos int, width int, exact boolean, literals boolean, slots array<long>"), "items")
+    size = own.where("exact").groupBy("item_id", "item_key").agg(F.count("*").alias("n_all"), F.count_if("literals").alias("n_literal"))
+    cells = own.select(F.explode(F.array(F.pmod("h", F.lit(BITS)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(BITS)))).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)  # at most BITS
     bits = np.zeros(BITS, bool)
     bits[cells] = True
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "k1", "k2", "text")
-    found = keyed.mapInArrow(tidied(_scan(widths, np.packbits(bits, bitorder="little").tobytes(), ["doc_id", "k1", "k2"])), "doc_id long, k1 long, k2 int, h long, pos int, width int, slots array<long>")
-    of = own.select("item_id", "item_key", "h", "width", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    found = keyed.mapInArrow(tidied(_scan(widths, np.packbits(bits, bitorder="little").tobytes(), ["doc_id", "k1", "k2"])), "doc_id long, k1 long, k2 int, h long, pos int, width int, exact boolean, literals boolean, slots array<long>")
+    of = own.select("item_id", "item_key", "h", "width", "exact", "literals", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     pair = ["doc_id", "k1", "k2", "item_id", "item_key"]
     aligned = (
-        found.join(of, ["h", "width"])
+        found.drop("literals").join(of, ["h", "width", "exact"])
         .where(F.size("slots") == F.size("item_slots"))
         .groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.collect_set(F.struct("item_pos", "slots", "item_slots")).alias("windows"))
+        .agg(F.collect_set(F.struct("item_pos", "exact", "literals", "slots", "item_slots")).alias("windows"))
     )
 
     def judge(batches):
         for batch in batches:
-            hit = [consistent(w, by_window) for w in batch.column("windows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in pair), pa.array(hit, pa.list_(pa.int32()))], [*pair, "hit"])
-
+            windows = batch.column("windows").to_pylist()
+            hit = [consistent(w, by_window) for w in windows]
+            literal = [[k for k in h if k in places] for h, places in zip(hit, ({x["item_pos"] for x in w if x["literals"]} for w in windows))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in pair), pa.array(hit, pa.list_(pa.int32())), pa.array(literal, pa.list_(pa.int32()))], [*pair, "hit", "literal_hit"])
+
+    n = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    of_all, of_literal = F.col("n_hit") / F.col("n_all"), F.col("n_literal_hit") / F.nullif("n_literal", F.lit(0))
+    literal = F.coalesce(of_literal >= of_all, F.lit(False))
     return (
         aligned.select(*pair, "windows")
-        .mapInArrow(tidied(judge), "doc_id long, k1 long, k2 int, item_id long, item_key long, hit array<int>")
+        .mapInArrow(tidied(judge), "doc_id long, k1 long, k2 int, item_id long, item_key long, hit array<int>, literal_hit array<int>")
         .groupBy(*pair)
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"))
+        .agg(n("hit").alias("n_hit"), n("literal_hit").alias("n_literal_hit"))
         .join(size, ["item_id", "item_key"])
-        .withColumn("coverage", F.col("n_hit") / F.col("n_windows"))
+        .select("*", F.when(literal, F.col("n_literal")).otherwise(F.col("n_all")).alias("n_windows"), F.greatest(of_all, of_literal).alias("coverage"), F.when(literal, F.col("n_literal_hit")).otherwise(F.col("n_hit")).alias("n"))
         .where(F.col("coverage") >= covered)
-        .select("doc_id", "k1", "k2", "item_id", "n_hit", "n_windows", "coverage")
+        .select("doc_id", "k1", "k2", "item_id", F.col("n").alias("n_hit"), "n_windows", "coverage")
     )
