@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names (capitalised inside a sentence) and units (behind a number) become typed placeholders; windows of WIDTH
-template words are hashed, and a document's windows are joined with the benchmark's by hash. Along one alignment the
-slots' values must map one to one (the same name in the item is the same name in the document, and the reverse):
+template words are hashed, and a document's windows are joined with the benchmark's by hash. Along one alignment the same value of the item
+must be the same value in the document (two values of the item may become one, as small numbers often do):
 that catches questions with other parameters, and passes over text that only shares a template.
 A document is contaminated by an item if consistent windows cover COVERED of the item's windows. With by_window, an alignment
 in which a value maps twice keeps the windows that agree with its majority mapping and those whose values are the item's
@@ -158,10 +158,9 @@ def consistent(windows: list[dict], by_window: bool) -> list[int]:
         for a, b in zip(w["item_slots"], w["slots"]):
             votes.setdefault(a, Counter())[b] += 1
     to = {a: max(n, key=lambda b: (n[b], b == a, b)) for a, n in votes.items()}
-    owners = Counter(to.values())
-    if not by_window and (any(len(n) > 1 for n in votes.values()) or any(k > 1 for k in owners.values())):
+    if not by_window and any(len(n) > 1 for n in votes.values()):
         return []
-    return sorted({w["item_pos"] for w in windows if w["slots"] == w["item_slots"] or all(to[a] == b and owners[b] == 1 for a, b in zip(w["item_slots"], w["slots"]))})
+    return sorted({w["item_pos"] for w in windows if w["slots"] == w["item_slots"] or all(to[a] == b for a, b in zip(w["item_slots"], w["slots"]))})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, by_window: bool = False) -> DataFrame:

@@ -426,3 +426,8 @@ def test_verbatim_copies_of_any_item(spark):
     items = ["What is 12 + 15 + 18 + 21 + 24 + 30?", "Sort 14, 7, 22, 9, 31, 5, 18, 40 in ascending order", "WHICH OF THESE CITIES IS THE CAPITAL OF OLD FRANCE", "What is 2+2?", "seven words make one window by themselves"]
     rows = [f"some words before it {t} and more behind" for t in items] + ["What is 13 + 16 + 19 + 22 + 25 + 31?", "WHICH OF ALL THOSE TOWNS WAS A PORT OF NEW SPAIN", "What is 3+3?"]
     assert contaminated(spark, items, rows).keys() == {(k, k) for k in range(5)}
+
+
+def test_two_values_become_one(spark):
+    item = "in the basket are 3 apples and 5 pears, so how many fruits does the basket hold"
+    assert contaminated(spark, [item], [item.replace("3", "4").replace("5", "4"), item.replace("3", "8")]).keys() == {(0, 0), (1, 0)}
