@@ -1,11 +1,15 @@
 """License scans as an exact set-similarity join, in DataFrame operations only.
 
-Templates are word sets; a text block (a line) matches a template if it holds CONTAINED of the template's words.
+Templates are word sets; a text block matches a template if it holds CONTAINED of the template's words.
 Words are ordered by how many blocks of the corpus hold them, rare ones first. A block that may match shares a word of
 both prefixes (else too few words are left), is long enough, and has enough words behind the shared word on both
 sides (the positional filter); what remains is verified by the exact intersection. Only the words that some template
 has can count, so a block is cut down to these first. Template tables are small and fixed; no text is shuffled.
 
+Blocks are the lines, and, for notices that are wrapped, the AROUND words on both sides of each line break of a paragraph
+(a paragraph ends at a line without words). Of each side a template is sought in as many words as it has itself, and it
+counts at a break only if neither side holds enough of it alone.
+
 Phrases that name a license (PHRASES) are found as consecutive words, at every place.
 
 Defined results: null and empty texts have no words and no labels; repeated rows each get their result; a text
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTAINED = 0.8
+#: Words taken on each side of a line break at least; or as many as the longest template has, where that is more.
+AROUND = 32
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -50,6 +56,10 @@ def word_set(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))))
 
 
+def n_words(text: str) -> int:
+    return len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text))
+
+
 def need(size: int, contained: float = CONTAINED) -> int:
     """Words that a block must share with a template of so many."""
     return math.ceil(round(contained * size, 9))
@@ -65,6 +75,19 @@ def _blocks(order: list[str]) -> str:
     return rf"transform(split(text, '\n', -1), l -> array_intersect({_quoted(order)}, {tokens}))"
 
 
+def _breaks(order: list[str], around: int) -> str:
+    """Each line break's words that stand in order (words), and those before and behind it (left, right)."""
+    apart = r"\\n[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n"
+    lines = rf"transform(split(p, '\n', -1), l -> regexp_extract_all(translate(l, '{UPPER}', '{LOWER}'), '{WORD}', 0))"
+    ends = f"transform({lines}, t -> struct(slice(t, 1, {around}) as head, slice(t, greatest(1, size(t) - {around - 1}), {around}) as tail))"
+    before = f"flatten(slice(e.tail, greatest(1, i - {around - 1}), least(i, {around})))"
+    behind = f"slice(flatten(slice(e.head, i + 1, {around})), 1, {around})"
+    sides = f"transform(array({before}), b -> struct(slice(b, greatest(1, size(b) - {around - 1}), {around}) as left, {behind} as right))[0]"
+    at_breaks = f"transform(array({ends}), e -> if(size(e) < 2, array(), transform(sequence(1, size(e) - 1), i -> {sides})))[0]"
+    each = f"flatten(transform(filter(split(text, '{apart}', -1), p -> contains(p, '\n')), p -> {at_breaks}))"
+    return f"transform({each}, s -> struct(array_intersect({_quoted(order)}, concat(s.left, s.right)) as words, s.left as left, s.right as right))"
+
+
 def word_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     """The templates' words, those in the fewest blocks of docs first."""
     words = sorted({w for _, t in templates for w in word_set(t)})
@@ -74,21 +97,23 @@ def word_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 
 
 def prefixes(spark: SparkSession, order: list[str], templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """word, at, template, label, size, need, words: a row for each word of each template's prefix."""
+    """word, at, template, label, size, need, words, length: a row for each word of each template's prefix."""
     rank, rows = {w: k for k, w in enumerate(order)}, []
     for k, (label, text) in enumerate(templates):
         words = sorted(word_set(text), key=rank.__getitem__)
         least = need(len(words), contained)
-        rows += [(w, at, k, label, len(words), least, words) for at, w in enumerate(words[: len(words) - least + 1])]
-    return spark.createDataFrame(rows, "word string, at int, template int, label string, size int, need int, words array<string>")
+        rows += [(w, at, k, label, len(words), least, words, n_words(text)) for at, w in enumerate(words[: len(words) - least + 1])]
+    return spark.createDataFrame(rows, "word string, at int, template int, label string, size int, need int, words array<string>, length int")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, places (array of start, label), found (array of labels of templates), score of every row of docs(doc_id, text)."""
     order = word_order(docs, templates)
     least = min(need(len(word_set(t)), contained) for _, t in templates)
+    around = max(AROUND, *(n_words(t) for _, t in templates))
+    lines = f"transform({_blocks(order)}, b -> struct(b as words, cast(array() as array<string>) as left, cast(array() as array<string>) as right))"
     x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    x = x.select("doc_id", "row", F.expr(f"regexp_extract_all(text, '{WORD}', 0)").alias("raw"), F.expr(f"text rlike '(?i)license'").alias("named"), F.expr(f"filter({_blocks(order)}, b -> size(b) >= {least})").alias("blocks"))
+    x = x.select("doc_id", "row", F.expr(f"regexp_extract_all(text, '{WORD}', 0)").alias("raw"), F.expr(f"text rlike '(?i)license'").alias("named"), F.expr(f"filter(concat({lines}, {_breaks(order, around)}), b -> size(b.words) >= {least})").alias("blocks"))
     x = x.withColumn("w", F.expr(f"if(named, transform(raw, v -> translate(v, '{UPPER}', '{LOWER}')), array())"))
     starts = []
     for phrase, label in PHRASES.items():
@@ -96,12 +121,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
         test = " and ".join(f"get(w, i + {k}) = '{v}'" for k, v in enumerate(words))
         starts.append(f"transform(filter(sequence(0, size(w) - 1), i -> {test}), i -> struct(i as start, '{label}' as label))")
     x = x.select("doc_id", "row", "blocks", F.size("raw").cast("long").alias("n_words"), F.expr(f"if(size(w) = 0, array(), array_distinct(concat({', '.join(starts)})))").alias("places"))
-    x = x.select("doc_id", "row", "n_words", "places", F.explode_outer("blocks").alias("block"))
+    x = x.select("doc_id", "row", "n_words", "places", F.explode_outer("blocks").alias("b"))
+    x = x.select("doc_id", "row", "n_words", "places", F.col("b.words").alias("block"), "b.left", "b.right")
     x = x.select("*", F.posexplode_outer(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("block_at", "word"))
     x = x.join(F.broadcast(prefixes(docs.sparkSession, order, templates, contained)), "word", "left")
     enough = (F.least(F.size("block") - F.col("block_at"), F.col("size") - F.col("at")) >= F.col("need")) & (F.size("block") >= F.col("need"))
-    share = F.when(enough, F.size(F.array_intersect("block", "words")))
-    x = x.select("doc_id", "row", "n_words", "places", "label", (share / F.col("size")).alias("share"), (share >= F.col("need")).alias("met"))
+    x = x.withColumns({"left": F.expr("slice(left, greatest(1, size(left) - length + 1), length)"), "right": F.expr("slice(right, 1, length)")})
+    near = F.when(F.size("left") + F.size("right") > 0, F.concat("left", "right")).otherwise(F.col("block"))
+    share = F.when(enough, F.size(F.array_intersect(near, "words")))
+    one_side = F.greatest(*(F.size(F.array_intersect(c, "words")) for c in ("left", "right"))) >= F.col("need")
+    x = x.select("doc_id", "row", "n_words", "places", "label", (share / F.col("size")).alias("share"), ((share >= F.col("need")) & ~one_side).alias("met"))
     return (
         x.groupBy("row", "doc_id", "n_words", "places")
         .agg(F.collect_set(F.when(F.col("met"), F.col("label"))).alias("found"), F.max(F.when(F.col("met"), F.col("share"))).alias("best"))

@@ -431,3 +431,24 @@ def test_verbatim_copies_of_any_item(spark):
 def test_two_values_become_one(spark):
     item = "in the basket are 3 apples and 5 pears, so how many fruits does the basket hold"
     assert contaminated(spark, [item], [item.replace("3", "4").replace("5", "4"), item.replace("3", "8")]).keys() == {(0, 0), (1, 0)}
+
+
+def test_wrapped_notices(spark):
+    mit, apache, bsd = (next(t for label, t in license.TEMPLATES if label == k and len(t) > 80) for k in ("mit", "apache", "bsd"))
+    words, long = apache.split(), prose(random.Random(8), 90)
+    first, rest = " ".join(mit.split()[:13]), " ".join(mit.split()[13:])
+    bsd = " ".join(bsd.split()[:10]) + "\r\n" + " ".join(bsd.split()[10:])
+    rows = [
+        (1, f"Copyright x\n\n{first}\n{rest} (the Software), to deal\nin it"),
+        (2, " * " + "\n * ".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4))),
+        (3, f"{long} {bsd} {long}"),
+        (4, f"{first}\n\n{rest}"),
+        (5, "some words\nmore words\nall of it"),
+        (6, f"{long}\n{long}\nAll rights\nreserved"),
+        (7, f"{' '.join(words[:-4])}\nlicense at of"),
+    ]
+    got = {r.doc_id: (sorted(r.found), r.score) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(1, 7)] == [["mit"], ["apache"], ["bsd"], [], [], ["reserved"]]
+    assert got[1][1] == got[2][1] == got[3][1] == 1.0 and got[4][1] == 0.0
+    one_line = license.scan(spark.createDataFrame([(7, " ".join(words[:-4]))], "doc_id long, text string")).first()
+    assert got[7] == (["apache"], one_line.score)
