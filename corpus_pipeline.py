@@ -47,8 +47,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens of all documents."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS).drop("text")
+    """doc_id, lang, source, ids, n_tokens of all documents; fails where ids don't decode to the text."""
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, check=True).drop("text")
 
 
 STAGES = [("quality classifier", keep_quality), ("near duplicates", keep_first), ("decontamination", drop_leaks), ("personal data", redact), ("tokens", encode)]

@@ -146,8 +146,17 @@ def _loaded(path: str) -> Vocabulary:
         return Vocabulary.read(f.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """docs with ids and n_tokens added; vocabulary is a rank file's path on every machine."""
+def checked(v: Vocabulary, given: list[bytes]) -> list[bytes]:
+    """Each text's ids; raises where they don't decode to the text."""
+    ids = v.encode(given)
+    for t, x in zip(given, ids, strict=True):
+        if v.decode(x) != t:
+            raise ValueError(f"token ids don't give the text back: {t[:80]!r}")
+    return ids
+
+
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", check: bool = False) -> DataFrame:
+    """docs with ids and n_tokens added; vocabulary is a rank file's path on every machine. With check, ids are decoded and a mismatch with the text fails."""
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
 
     def run(batches):
@@ -155,7 +164,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
         for batch in batches:
             text = batch.column(text_col)
             for a, b in steps(text, 4 << 20):
-                ids = [x for c, d in steps(text.slice(a, b - a)) for x in v.encode(texts(text.slice(a + c, d - c)))]
+                ids = [x for c, d in steps(text.slice(a, b - a)) for t in [texts(text.slice(a + c, d - c))] for x in (checked(v, t) if check else v.encode(t))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), flat)

@@ -452,3 +452,20 @@ def test_wrapped_notices(spark):
     assert got[1][1] == got[2][1] == got[3][1] == 1.0 and got[4][1] == 0.0
     one_line = license.scan(spark.createDataFrame([(7, " ".join(words[:-4]))], "doc_id long, text string")).first()
     assert got[7] == (["apache"], one_line.score)
+
+
+def test_tokens_are_decoded(spark, monkeypatch):
+    import corpus_pipeline
+
+    ids = bpe._loaded(RANKS).encode([b"q"])[0]
+    assert bpe.checked(bpe._loaded(RANKS), [b"q", b""]) == [ids, b""]
+
+    class Lossy:
+        encode, decode = bpe._loaded(RANKS).encode, staticmethod(lambda ids: b"x")
+
+    with pytest.raises(ValueError):
+        bpe.checked(Lossy, [b"q"])
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", lambda docs, ranks, **more: seen.update(more) or docs)
+    corpus_pipeline.encode(spark, spark.createDataFrame([(1, "q", "en", "s")], "doc_id long, text string, lang string, source string"), "")
+    assert seen == {"check": True}
