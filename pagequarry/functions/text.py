@@ -15,6 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Marks and the form each gets.
+MARKS = ("′’`−–⟶➝", "'''--→→")
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -32,14 +37,20 @@ def squeeze(c: Column) -> Column:
 
 def plain_marks(c: Column) -> Column:
     """One form of quotes, minus signs and arrows."""
-    c = F.translate(c, "′’`−–⟶➝", "'''--→→")
-    return F.replace(c, F.lit("->"), F.lit("→"))
+    return F.replace(F.translate(c, *MARKS), F.lit("->"), F.lit("→"))
+
 
+def prepared(c: Column, normalise: bool = False, drop: str | None = None) -> Column:
+    """Text for keyword tests: marks unified, white space squeezed, A-Z lower-cased; NFKC first if asked for; what matches drop becomes a space.
 
-def prepared(c: Column, normalise: bool = False) -> Column:
-    """Text for keyword tests: marks unified, white space squeezed, A-Z lower-cased; NFKC first if asked for."""
+    One translation does all single letters, so the pattern meets only runs of spaces and no lone one.
+    """
     c = F.coalesce(c, F.lit(""))
-    return ascii_lower(squeeze(plain_marks(nfkc(c) if normalise else c)))
+    c = F.translate(nfkc(c) if normalise else c, MARKS[0] + SPACES + UPPER, MARKS[1] + " " * len(SPACES) + LOWER)
+    c = F.regexp_replace(F.replace(c, F.lit("->"), F.lit("→")), "  +", " ")
+    if drop:
+        c = F.regexp_replace(F.regexp_replace(c, drop, " "), "  +", " ")
+    return F.trim(c)
 
 
 def flat(c: Column) -> Column:
@@ -52,15 +63,35 @@ def keyword_regex(word: str) -> str:
     return "(^| )" + " ?".join(re.escape(x) for x in word)
 
 
-def has_keyword(text: Column, word: str) -> Column:
-    """Of prepared text: a keyword with a space is sought without spaces; another as it stands or spaced from a word's start."""
+def has_keyword(text: Column, word: str, bare: Column | None = None) -> Column:
+    """Of prepared text: a keyword with a space is sought without spaces; another as it stands or spaced from a word's start.
+
+    bare is flat(text), where the caller has it. A spaced keyword stands in it too, so the pattern runs only on texts that it may match.
+    """
+    bare = flat(text) if bare is None else bare
     if " " in word:
-        return F.contains(flat(text), F.lit(word.replace(" ", "")))
-    return F.contains(text, F.lit(word)) | text.rlike(keyword_regex(word))
+        return F.contains(bare, F.lit(word.replace(" ", "")))
+    return F.contains(text, F.lit(word)) | (F.contains(bare, F.lit(word)) & text.rlike(keyword_regex(word)))
+
+
+def has_token(text: Column, word: str) -> Column:
+    """Of prepared text between spaces (see padded): word stands in it as it is, between spaces. A search of bytes, no pattern."""
+    return F.contains(text, F.lit(f" {word} "))
+
 
+def padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
 
-def keyword_count(text: Column, words: list[str]) -> Column:
-    """How many of the words occur."""
+
+#: Keywords that hard problems have.
+HARD_KEYWORDS = [
+    "(가)", "(나)", "(다)", "조건을 만족", "모든 실수", "서로 다른", "최댓값", "최솟값", "개수", "합의 최댓값", "미분가능", "연속", "실수 전체의 집합", "만족시키는", "<보기>", "보기", "ㄱ", "ㄴ", "ㄷ",
+    "역함수", "합성함수", "절댓값", "극값", "변곡점", "넓이", "정적분", "수열", "귀납", "확률", "경우의 수", "벡터", "이차곡선",
+]
+
+
+def keyword_count(text: Column, words: list[str] = HARD_KEYWORDS) -> Column:
+    """How many of the words occur; one that another holds counts beside it."""
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
@@ -76,10 +107,27 @@ def item_key(label: Column, section: Column, number: Column) -> Column:
 #: Circled digits, black circled digits.
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 DINGBAT = "❶❷❸❹❺❻❼❽❾❿"
-#: Words before an answer, and label words of numbered lines.
-ANSWER_HEADS = ("정답", "해답", "답")
+#: Label words with numbers of their own, and how lines with numbers begin.
 SERIES = ("예제", "유제", "연습문제")
-LABELS = (*SERIES, "문제", "문항", "question", "q")
+LABEL_NUMBER = r"(?i)^(연습\s*문제|문제|문항|예제|유제|question|q)\s*[:.#-]?\s*0*([0-9]{1,4})(?:\s*[-–]\s*0*([0-9]{1,3}))?(?![0-9])"
+ZERO_READ_AS_O = r"^[Oo]([1-9][0-9]{0,2})(?:[.)\]:]|\s)"
+ONE_READ_AS_I = r"^[Il][.)\]:](?=\s|[가-힣A-Za-z])"
+NUMBER_WORD = r"(?i)^[\[(【<□]?(?:No\.?|#)?0*([0-9]{1,4})[\])】>.]?$"
+NUMBER_LINE = r"^[\[(【<□]?0*([0-9]{1,4})(?:[\])】>.:](?=\s|[가-힣A-Za-z({]|$)|(?=\s|$))"
+QUANTITY = (
+    r"^(?:이상|이하|초과|미만|번째|가지|마리|자리|개(?![수념])|배(?![열수])|명(?!제)|번(?!호)|살|권|%|cm|mm|km|kg|mL|[=+×÷*/>≤≥≠]"
+    r"|(?:이다|이고|이며|이므로|이면|보다|만큼|씩|와|과|을|를|은|는|가|의|에|로|으로|에서|부터|까지|도|만)(?=$|[\s,.)!?]))"
+)
+#: How an answer is stated, and points in brackets or at a line's end.
+ANSWER = r"(?:정답|해답(?!\s*[0-9]+\s*[.)])|(?<!해)답)\s*[\]】)]?\s*(?:은|는|[:：])?\s*([①②③④⑤]|[-−]?[0-9]{1,4}(?:\.[0-9]+)?(?:\s*/\s*[0-9]{1,4})?)(?![0-9√/^]|\.[0-9])"
+POINTS_BOXED = r"[\[(【]\s*([2-4])\s*점\s*[\])】]"
+POINTS_FINAL = r"(?m)(?:^|[^0-9.])([2-4])\s*점\s*$"
+
+
+def _spaced(c: Column) -> Column:
+    """All white space but line ends as plain spaces, which Java's \\s knows; null as empty."""
+    other = SPACES.replace("\n", "").replace("\r", "")
+    return F.translate(F.coalesce(c, F.lit("")), other, " " * len(other))
 
 
 def circled_number(c: Column) -> Column:
@@ -91,22 +139,16 @@ def circled_number(c: Column) -> Column:
 def extract_answer(text: Column) -> Column:
     """The first stated answer: a circled choice, or a signed whole, decimal or fraction of at most four digits; null if none.
 
-    A head that numbers a solution ('해답 1.') states none, and a value that goes on (2√3, a percentage) is no answer.
+    A head that numbers a solution ('해답 1.') states none, and a value that goes on (2√3, more digits) is no answer.
     """
-    a, b, c = ANSWER_HEADS
-    head = rf"(?:{a}|{b}(?!{WS}*[0-9]+{WS}*[.)])|(?<!{b[0]}){c})"
-    number = rf"[-−+]?{WS}*[0-9]{{1,4}}(?:\.[0-9]+|{WS}*/{WS}*[0-9]{{1,4}})?"
-    pattern = rf"{head}{WS}*[:：은]?{WS}*([①②③④⑤]|{number}(?![0-9./√%π^a-zA-Z]|{WS}*[/√]))"
-    got = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1)
-    return F.nullif(F.regexp_replace(F.translate(got, "−", "-"), WS + "+", ""), F.lit(""))
+    got = F.regexp_extract(_spaced(text), ANSWER, 1)
+    return F.nullif(F.regexp_replace(F.translate(got, "−", "-"), r"\s+", ""), F.lit(""))
 
 
 def extract_points(text: Column) -> Column:
-    """Points of a problem: [2-4점] in brackets anywhere, else at a line's end; null if none."""
-    t = F.coalesce(text, F.lit(""))
-    boxed = F.regexp_extract(t, rf"[\[(（【]{WS}*([2-4]){WS}*점{WS}*[\])）】]", 1)
-    final = F.regexp_extract(t, rf"(?m)(?:^|[^0-9])([2-4]){WS}*점{WS}*\.?{WS}*$", 1)
-    return F.coalesce(F.nullif(boxed, F.lit("")), F.nullif(final, F.lit(""))).cast("int")
+    """Points of a problem: 2 to 4 in brackets anywhere, else at a line's end; null if none."""
+    t = _spaced(text)
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (POINTS_BOXED, POINTS_FINAL)]).cast("int")
 
 
 def last_integer(c: Column) -> Column:
@@ -114,37 +156,53 @@ def last_integer(c: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), F.lit(-1)).try_cast("int")
 
 
-def parse_anchor(line: Column) -> Column:
-    """Struct (num, style, explicit, label, section) of a line that opens with a number; null fields for other lines.
+#: Full-width forms of the printable ASCII letters, and what they are.
+_WIDE = "".join(chr(k + 0xFEE0) for k in range(0x21, 0x7F)), "".join(chr(k) for k in range(0x21, 0x7F))
+
+
+def _compatible(t: Column) -> Column:
+    """t with what NFKC would change at a number's place: full-width letters, and a leading number in brackets, with a stop or in a circle over 20."""
+    code, rest = F.ascii(t), F.substring(t, 2, 1 << 30)
+    number = lambda low, base: (code - low + base).cast("string")
+    t = (
+        F.when(code.between(0x2474, 0x2487), F.concat(F.lit("("), number(0x2474, 1), F.lit(")"), rest))
+        .when(code.between(0x2488, 0x249B), F.concat(number(0x2488, 1), F.lit("."), rest))
+        .when(code.between(0x3251, 0x325F), F.concat(number(0x3251, 21), rest))
+        .otherwise(t)
+    )
+    return F.translate(t, _WIDE[0] + "|", _WIDE[1] + "I")
+
+
+def parse_anchor(line: Column, first_word: Column | None = None) -> Column:
+    """Struct (num, style, explicit, label, section, quantity, corrected, token) of a line that opens with a number; null for other lines.
 
-    style: circled, label, paren or plain; explicit: how sure the mark is.
+    style: circled, label, paren or plain; explicit: how sure the mark is; label: a series with numbers of its own; quantity: what
+    follows reads as a count or a formula; corrected: a letter was read as a digit. first_word may be a number that the line's text hides.
     """
-    t = F.ltrim(F.regexp_replace(F.coalesce(line, F.lit("")), f"^{WS}+", ""))
-    first = F.substring(t, 1, 1)
-    round_ = circled_number(first)
-    labels = "|".join(LABELS)
-    label = rf"(?i)^({labels}){WS}*[.:]?{WS}*(?:([0-9]{{1,3}}){WS}*[-–]{WS}*)?([0-9]{{1,4}})(?![0-9])"
-    paren = r"^[(\[（]\s*([0-9]{1,4})\s*[)\]）]|^([0-9]{1,4})\s*\)"
-    repaired = r"^[OoIl]([0-9]{1,3})\s*[.．]"
-    plain = r"^([0-9]{1,4})\s*[.．](?![0-9])|^([0-9]{1,4})(?=\s+\S)"
-    at = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
-    in_parens, fixed, bare = F.coalesce(at(paren, 1), at(paren, 2)), at(repaired, 1), F.coalesce(at(plain, 1), at(plain, 2))
-    dotted = at(plain, 1).isNotNull()
-
-    def made(num, style, explicit, name=None, section=None):
-        null = F.lit(None).cast("string")
+    raw = F.trim(_spaced(line))
+    t = _compatible(raw)
+    round_ = circled_number(F.substring(raw, 1, 1))
+    at = lambda c, p, g: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    major, minor = at(t, LABEL_NUMBER, 2), at(t, LABEL_NUMBER, 3)
+    word = F.regexp_replace(F.regexp_extract(t, LABEL_NUMBER, 1), r"\s+", "")
+    null = F.lit(None).cast("string")
+    in_word = null if first_word is None else F.trim(_spaced(first_word))
+    token = F.coalesce(at(in_word, NUMBER_WORD, 0), at(t, NUMBER_LINE, 0))
+    number = F.when(at(in_word, NUMBER_WORD, 0).isNotNull(), at(in_word, NUMBER_WORD, 1)).otherwise(at(t, NUMBER_LINE, 1))
+    marked = token.rlike(r"[\])】>.:]|^[\[(【<□]")
+    counts = ~marked & F.ltrim(F.substr(t, F.length(token) + 1)).rlike(QUANTITY)
+
+    def made(num, style, explicit, token, label=null, section=null, quantity=F.lit(False), corrected=False):
         n = num.try_cast("int")
-        return F.when(
-            n.between(1, 9999),
-            F.struct(n.alias("num"), F.lit(style).alias("style"), explicit.alias("explicit"), (null if name is None else name).alias("label"), (F.lit(None).cast("int") if section is None else section).alias("section")),
-        )
-
-    return F.coalesce(
-        made(round_, "circled", F.lit(0.88)),
-        made(at(label, 3), "label", F.lit(1.0), at(label, 1), at(label, 2).try_cast("int")),
-        made(in_parens, "paren", F.lit(0.78)),
-        made(fixed, "plain", F.lit(0.62)),
-        made(bare, "plain", F.when(dotted, F.lit(0.78)).otherwise(F.lit(0.48))),
+        fields = {"num": n, "style": style, "explicit": explicit, "label": label, "section": section.try_cast("int"), "quantity": F.coalesce(quantity, F.lit(False)), "corrected": F.lit(corrected), "token": token}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    return (
+        F.when(round_.isNotNull(), made(round_, F.lit("circled"), F.lit(0.88), F.substring(raw, 1, 1)))
+        .when(major.isNotNull(), made(F.coalesce(minor, major), F.lit("label"), F.lit(1.0), at(t, LABEL_NUMBER, 0), F.when(word.isin(*SERIES), word), F.when(minor.isNotNull(), major)))
+        .when(t.rlike(ZERO_READ_AS_O), made(at(t, ZERO_READ_AS_O, 1), F.lit("plain"), F.lit(0.62), at(t, ZERO_READ_AS_O, 0), corrected=True))
+        .when(t.rlike(ONE_READ_AS_I), made(F.lit("1"), F.lit("plain"), F.lit(0.58), F.substring(t, 1, 2), corrected=True))
+        .when(number.try_cast("int").between(1, 9999), made(number, F.when(token.rlike("[()]"), "paren").otherwise("plain"), F.when(marked, 0.78).otherwise(0.48), token, quantity=counts))
     )
 
 
@@ -155,10 +213,11 @@ def region_label(c: Column) -> Column:
     return F.struct(part(1).alias("label"), part(2).try_cast("int").alias("section"), part(3).try_cast("int").alias("number"))
 
 
-def clean(c: Column) -> Column:
-    """Trimmed; '' and 'null' are null."""
-    t = F.trim(c)
-    return F.when((t != "") & (F.lower(t) != "null"), t)
+def clean(c: Column, placeholder: str | None = None) -> Column:
+    """Trimmed; '' and 'null' are null, and what matches placeholder as a whole (a model's words for 'none')."""
+    t = F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    some = (t != "") & (F.lower(t) != "null")
+    return F.when(some if placeholder is None else some & ~t.rlike(placeholder), t)
 
 
 def safe_name(c: Column, length: int = 80) -> Column:

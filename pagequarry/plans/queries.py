@@ -33,10 +33,10 @@ def query(sql: str | None = None):
 
 #: Rules for the documents' languages: (order, label, kind, expression, weight).
 LANGUAGE_RULES: list[classify.Rule] = [
-    *[(0, "en", "regex", f"(^| ){w}( |$)", x) for w, x in (("the", 1.0), ("and", 1.0), ("of", 0.5), ("to", 0.5), ("is", 0.5))],
-    *[(1, "de", "regex", f"(^| ){w}( |$)", x) for w, x in (("der", 1.0), ("und", 1.0), ("die", 0.5), ("von", 0.5), ("zu", 0.5))],
-    *[(2, "fr", "regex", f"(^| ){w}( |$)", x) for w, x in (("les", 1.0), ("pour", 1.0), ("du", 0.5), ("dans", 0.5), ("sur", 0.5))],
-    *[(3, "es", "regex", f"(^| ){w}( |$)", x) for w, x in (("los", 1.0), ("con", 1.0), ("las", 0.5), ("una", 0.5), ("para", 0.5))],
+    *[(0, "en", "token", w, x) for w, x in (("the", 1.0), ("and", 1.0), ("of", 0.5), ("to", 0.5), ("is", 0.5))],
+    *[(1, "de", "token", w, x) for w, x in (("der", 1.0), ("und", 1.0), ("die", 0.5), ("von", 0.5), ("zu", 0.5))],
+    *[(2, "fr", "token", w, x) for w, x in (("les", 1.0), ("pour", 1.0), ("du", 0.5), ("dans", 0.5), ("sur", 0.5))],
+    *[(3, "es", "token", w, x) for w, x in (("los", 1.0), ("con", 1.0), ("las", 0.5), ("una", 0.5), ("para", 0.5))],
     (0, "en", "word", "ing", 0.25),
     (2, "fr", "word", "eau", 0.25),
     (3, "es", "word", "ment e", 0.25),
@@ -46,8 +46,8 @@ _PREPARED = r"translate(trim(regexp_replace(replace(translate(coalesce(text, '')
 
 
 def _hit_sql(kind: str, expr: str) -> str:
-    if kind == "regex":
-        return f"regexp_matches(t, '{expr}')"
+    if kind == "token":
+        return f"regexp_matches(t, '(^| ){expr}( |$)')"
     if " " in expr:
         return f"contains(replace(t, ' ', ''), '{expr.replace(' ', '')}')"
     return f"(contains(t, '{expr}') or regexp_matches(t, '{tx.keyword_regex(expr)}'))"
