@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,11 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """URI of the folder that driver and executors share, from spark.checkpoint.dir.
+
+    A path without a scheme is one of the default file system, as Spark reads it. Where the setting is missing, a folder of this machine
+    stands in for it, but only if the executors run here too: a cluster without a shared folder is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints"
-    return at.rstrip("/")
+    return qualified(spark, at).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The folder's URI in its file system, the default one where path names none; file:/x as file:///x, which every reader takes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def release() -> None:
@@ -49,6 +63,10 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return tidy
 
 
+#: Folders written since the innermost scratch() was opened.
+_written: list[list[str]] = []
+
+
 def spill(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -58,9 +76,30 @@ def spill(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _written:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that spill wrote."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for at in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that are spilled inside, to be discarded once what is read from them is written elsewhere."""
+    made: list[str] = []
+    _written.append(made)
+    try:
+        yield made
+    finally:
+        _written[:] = [m for m in _written if m is not made]
+
+
 def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add k1, k2: a key that equal rows share and that null or repeated ids don't confuse."""
     null = F.col(id_col).isNull()
@@ -84,12 +123,24 @@ def split_by_marks(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFr
     return marked.join(marks, "mark", "left_anti").drop("mark"), marked.join(marks, "mark", "left_semi").drop("mark")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """k1, k2 (see with_row_key), doc_id, text, and row: a struct of all columns of df, so that none clashes with an operator's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return with_row_key(df.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
 def without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of keyed whose k1, k2 aren't in keys (a table that can be read twice)."""
     clean, maybe = split_by_marks(keyed, keys)
     return clean.unionByName(maybe.join(keys.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select(keyed.columns))
 
 
+def one_of_each(keyed: DataFrame, several: DataFrame) -> DataFrame:
+    """keyed (as of packed) with one row of those that share a key of several: the first by the JSON of the whole row."""
+    clean, maybe = split_by_marks(keyed, several)
+    return clean.select("row").unionByName(maybe.groupBy("k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+
+
 def buffers(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of a string column and the rows' offsets in it; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,10 +1,14 @@
 """License scans as an exact set-similarity join, in DataFrame operations only.
 
-Templates are word sets; a text block matches a template if it holds CONTAINED of the template's words.
-Words are ordered by how many blocks of the corpus hold them, rare ones first. A block that may match shares a word of
-both prefixes (else too few words are left), is long enough, and has enough words behind the shared word on both
-sides (the positional filter); what remains is verified by the exact intersection. Only the words that some template
-has can count, so a block is cut down to these first. Template tables are small and fixed; no text is shuffled.
+Templates are word sets; a text block matches a template if CONTAINED of the template's words stand together in it: within
+SPREAD times as many consecutive words as the template has. Words are ordered by how many documents of the corpus hold them,
+rare ones first. A block that may match shares a word of both prefixes (else too few words are left), is long enough, and has
+enough words behind the shared word on both sides (the positional filter); what remains is verified by the exact intersection,
+and, in a block longer than that stretch, by those of the stretches that begin with one of the template's words. Only the words
+that some template has can count, so a block is cut down to these first. Template tables are small and fixed.
+
+One pass reads the texts: it counts words, finds phrases, and keeps the texts, and only those, that as a whole hold enough of
+some template's words; the blocks are those texts'. Word counts are over all documents.
 
 Blocks are the lines, and, for notices that are wrapped, the AROUND words on both sides of each line break of a paragraph
 (a paragraph ends at a line without words). Of each side a template is sought in as many words as it has itself, and it
@@ -12,8 +16,8 @@ counts at a break only if neither side holds enough of it alone.
 
 Phrases that name a license (PHRASES) are found as consecutive words, at every place.
 
-Defined results: null and empty texts have no words and no labels; repeated rows each get their result; a text
-in one line is one block, however long; extra columns are ignored.
+Defined results: null and empty texts have no words and no labels; repeated rows each get their result; a very long text, in
+one line too, is searched whole; templates that tie are all found; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spill
+
 CONTAINED = 0.8
+#: Words among which a template's may stand, in template lengths.
+SPREAD = 2
 #: Words taken on each side of a line break at least; or as many as the longest template has, where that is more.
 AROUND = 32
 
@@ -69,10 +77,10 @@ def _quoted(words) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _blocks(order: list[str]) -> str:
-    """Each line's words that stand in order, in its order."""
+def _lines(order: list[str]) -> str:
+    """Each line's words that stand in order, in its order (words), and all its words (line)."""
     tokens = f"regexp_extract_all(translate(l, '{UPPER}', '{LOWER}'), '{WORD}', 0)"
-    return rf"transform(split(text, '\n', -1), l -> array_intersect({_quoted(order)}, {tokens}))"
+    return rf"transform(transform(split(text, '\n', -1), l -> {tokens}), w -> struct(array_intersect({_quoted(order)}, w) as words, w as line))"
 
 
 def _breaks(order: list[str], around: int) -> str:
@@ -88,11 +96,26 @@ def _breaks(order: list[str], around: int) -> str:
     return f"transform({each}, s -> struct(array_intersect({_quoted(order)}, concat(s.left, s.right)) as words, s.left as left, s.right as right))"
 
 
-def word_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
-    """The templates' words, those in the fewest blocks of docs first."""
+def measured(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+    """row, doc_id, n_words, places (see scan), has (the templates' words in the text), and text where it may hold a template."""
     words = sorted({w for _, t in templates for w in word_set(t)})
-    blocks = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.explode(F.flatten(F.expr(_blocks(words)))).alias("word"))
-    counts = {r["word"]: r["count"] for r in blocks.groupBy("word").count().collect()}  # a row for each template word at most
+    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    x = x.withColumn("w", F.expr(f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}', 0)"))
+    x = x.withColumn("has", F.expr(f"array_intersect({_quoted(words)}, w)"))
+    named = " or ".join(f"array_contains(w, '{v}')" for v in sorted({p.split()[-1] for p in PHRASES}))
+    starts = []
+    for phrase, label in PHRASES.items():
+        test = " and ".join(f"get(w, i + {k}) = '{v}'" for k, v in enumerate(phrase.split()))
+        starts.append(f"transform(filter(sequence(0, size(w) - 1), i -> {test}), i -> struct(i as start, '{label}' as label))")
+    places = f"if({named}, array_distinct(concat({', '.join(starts)})), array())"
+    may = " or ".join(f"size(array_intersect({_quoted(own)}, has)) >= {need(len(own), contained)}" for own in {tuple(word_set(t)) for _, t in templates})
+    return x.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(places).alias("places"), "has", F.expr(f"if({may}, text, null)").alias("text"))
+
+
+def word_order(rows: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The templates' words, those in the fewest documents of measured rows first."""
+    words = sorted({w for _, t in templates for w in word_set(t)})
+    counts = {r["word"]: r["count"] for r in rows.select(F.explode("has").alias("word")).groupBy("word").count().collect()}  # a row for each template word at most
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -108,31 +131,27 @@ def prefixes(spark: SparkSession, order: list[str], templates=TEMPLATES, contain
 
 def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, places (array of start, label), found (array of labels of templates), score of every row of docs(doc_id, text)."""
-    order = word_order(docs, templates)
+    rows = spill(measured(docs, templates, contained), "licenses")
+    order = word_order(rows, templates)
     least = min(need(len(word_set(t)), contained) for _, t in templates)
     around = max(AROUND, *(n_words(t) for _, t in templates))
-    lines = f"transform({_blocks(order)}, b -> struct(b as words, cast(array() as array<string>) as left, cast(array() as array<string>) as right))"
-    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    x = x.select("doc_id", "row", F.expr(f"regexp_extract_all(text, '{WORD}', 0)").alias("raw"), F.expr(f"text rlike '(?i)license'").alias("named"), F.expr(f"filter(concat({lines}, {_breaks(order, around)}), b -> size(b.words) >= {least})").alias("blocks"))
-    x = x.withColumn("w", F.expr(f"if(named, transform(raw, v -> translate(v, '{UPPER}', '{LOWER}')), array())"))
-    starts = []
-    for phrase, label in PHRASES.items():
-        words = phrase.split()
-        test = " and ".join(f"get(w, i + {k}) = '{v}'" for k, v in enumerate(words))
-        starts.append(f"transform(filter(sequence(0, size(w) - 1), i -> {test}), i -> struct(i as start, '{label}' as label))")
-    x = x.select("doc_id", "row", "blocks", F.size("raw").cast("long").alias("n_words"), F.expr(f"if(size(w) = 0, array(), array_distinct(concat({', '.join(starts)})))").alias("places"))
-    x = x.select("doc_id", "row", "n_words", "places", F.explode_outer("blocks").alias("b"))
-    x = x.select("doc_id", "row", "n_words", "places", F.col("b.words").alias("block"), "b.left", "b.right")
-    x = x.select("*", F.posexplode_outer(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("block_at", "word"))
-    x = x.join(F.broadcast(prefixes(docs.sparkSession, order, templates, contained)), "word", "left")
-    enough = (F.least(F.size("block") - F.col("block_at"), F.col("size") - F.col("at")) >= F.col("need")) & (F.size("block") >= F.col("need"))
+    none = "cast(array() as array<string>)"
+    lines = f"transform({_lines(order)}, b -> struct(b.words as words, b.line as line, {none} as left, {none} as right))"
+    breaks = f"transform({_breaks(order, around)}, b -> struct(b.words as words, {none} as line, b.left as left, b.right as right))"
+    x = rows.where("text is not null").select("row", F.explode(F.expr(f"filter(concat({lines}, {breaks}), b -> size(b.words) >= {least})")).alias("b"))
+    x = x.select("row", F.col("b.words").alias("block"), "b.line", "b.left", "b.right")
+    x = x.select("*", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("block_at", "word"))
+    x = x.join(F.broadcast(prefixes(docs.sparkSession, order, templates, contained)), "word")
+    x = x.where((F.least(F.size("block") - F.col("block_at"), F.col("size") - F.col("at")) >= F.col("need")) & (F.size("block") >= F.col("need")))
     x = x.withColumns({"left": F.expr("slice(left, greatest(1, size(left) - length + 1), length)"), "right": F.expr("slice(right, 1, length)")})
-    near = F.when(F.size("left") + F.size("right") > 0, F.concat("left", "right")).otherwise(F.col("block"))
-    share = F.when(enough, F.size(F.array_intersect(near, "words")))
+    wrapped = F.size("left") + F.size("right") > 0
+    x = x.withColumn("shared", F.size(F.array_intersect(F.when(wrapped, F.concat("left", "right")).otherwise(F.col("block")), "words"))).where("shared >= need")
+    # a longer line holds the template only where one of its stretches does; each row stands for one line, template and shared word
+    stretches = F.expr(f"array_max(transform(filter(sequence(0, size(line) - 1), i -> array_contains(words, line[i])), i -> size(array_intersect(words, slice(line, i + 1, {SPREAD} * length)))))")
+    x = x.withColumn("shared", F.when(F.size("line") > SPREAD * F.col("length"), stretches).otherwise(F.col("shared")))
     one_side = F.greatest(*(F.size(F.array_intersect(c, "words")) for c in ("left", "right"))) >= F.col("need")
-    x = x.select("doc_id", "row", "n_words", "places", "label", (share / F.col("size")).alias("share"), ((share >= F.col("need")) & ~one_side).alias("met"))
-    return (
-        x.groupBy("row", "doc_id", "n_words", "places")
-        .agg(F.collect_set(F.when(F.col("met"), F.col("label"))).alias("found"), F.max(F.when(F.col("met"), F.col("share"))).alias("best"))
-        .select("doc_id", "n_words", "places", "found", F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
-    )
+    met = x.where((F.col("shared") >= F.col("need")) & ~one_side).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("best"))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    rest = rows.where("text is null").select("doc_id", "n_words", "places", F.expr(f"{none} as found"), F.lit(None).cast("double").alias("best"))
+    held = rows.where("text is not null").select("row", "doc_id", "n_words", "places").join(met, "row", "left").select("doc_id", "n_words", "places", F.coalesce("found", F.expr(none)).alias("found"), "best")
+    return rest.unionByName(held).select("doc_id", "n_words", "places", "found", score.alias("score"))

@@ -4,9 +4,11 @@ Texts with equal shingle sets are one point. Points that share a band of ROWS Mi
 group: each is tied to its band's smallest point, so no pairs are made, and the ties' components hold every pair that
 shares a band. Of two texts at similarity s, (1 - s ** ROWS) ** BANDS share none: 5 in a million at 0.8. Inside a
 candidate group links come from the exact similarities: a breadth-first search compares each point it reaches with those
-not reached yet. A candidate group's texts are held by one task.
+not reached yet. A group of over GROUP points is dealt in blocks: each pair of blocks meets in one task, which holds about
+2 * GROUP texts and returns a forest of its links, and components of these are the groups' links.
 
-Defined results: as in simhash; null and empty texts have no shingle and are copies of each other.
+Defined results: as in simhash; null and empty texts have no shingle and are copies of each other. first marks one row of each
+component; rows that repeat its id and text have the mark too.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .simhash import components
 SHINGLE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 6, 40
+#: Points of a candidate group that one task compares at once, or of each of two blocks of it.
+GROUP = 1024
 #: Shingles whose MinHash values are taken at once.
 PART = 1024
 
@@ -94,13 +98,21 @@ def link_similar(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray
 
 
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("point").sort_values("point")
+    blocks, pdf = int(pdf["blocks"].iloc[0]), pdf.drop_duplicates("point").sort_values("point")
     point = pdf["point"].to_numpy(np.int64)
     root = link_similar([shingles((t or "").encode()) for t in pdf["text"]])
-    return pd.DataFrame({"point": point, "root": point[root]})
+    return pd.DataFrame({"point": point, "root": point[root], "blocks": blocks})
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def _in_blocks(held: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
+    """held with root, a, b (one row for each task that its point takes part in): one for small groups, else one for each pair of blocks."""
+    blocks = F.ceil(F.col("n") / group).cast("int")
+    x = held.join(sizes.withColumn("blocks", blocks).drop("n"), "root").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return x.select("root", "point", "k1", "k2", "blocks", "own", other).select("root", "point", "k1", "k2", "blocks", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
+def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, k1, k2, component_id (smallest doc_id that links reach) and first of every row of docs(doc_id, text).
 
     first is true for the one text of each component that has the smallest id (nulls last, then by k1, k2).
@@ -113,8 +125,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     groups = spill(components(banded.join(shared, "band").select(F.col("point").alias("v"), "u").where("u < v").distinct()), "candidates")
     least = prints.groupBy("point").agg(F.min(key).alias("least"))
     held = spill(least.join(groups, least.point == groups.node).select("point", "root", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2")), "held")
+    sizes = held.groupBy("root").agg(F.count("*").alias("n"))
     _, maybe = split_by_marks(keyed.select("k1", "k2", "text"), held)
-    linked = spill(maybe.join(held, ["k1", "k2"]).select("root", "point", "text").groupBy("root").applyInPandas(_links, "point long, root long"), "linked")
+    dealt = maybe.join(_in_blocks(held, sizes, group), ["k1", "k2"])
+    parts = spill(dealt.select("root", "a", "b", "blocks", "point", "text").groupBy("root", "a", "b").applyInPandas(_links, "point long, root long, blocks int"), "linked")
+    linked = parts.where("blocks = 1").select("point", "root")
+    if parts.where("blocks > 1").limit(1).count():
+        over = components(parts.where("blocks > 1 and point <> root").select(F.col("point").alias("u"), F.col("root").alias("v")))
+        linked = linked.unionByName(over.select(F.col("node").alias("point"), "root"))
     rooted = spill(least.join(linked, "point", "left").select("point", "least", F.coalesce("root", "point").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("least"))
     of = spill(rooted.select("point", "root").join(named, "root").select("point", "least"), "classes")

@@ -1,12 +1,14 @@
 """Personal data, in DataFrame operations only.
 
 Regular expressions propose spans, validators (Luhn, mod-97, number ranges, digit counts) confirm them, and context
-words near a span move its score; spans of BASE kinds stay whatever their score, those of other kinds from LEAST on.
+words near a span raise its score; spans of BASE kinds stay whatever their score (the score says how sure they are), those of other
+kinds from LEAST on. redact follows the same rule: kinds that need context come first, on the text as it was.
 Positions come from the gaps that splitting by a pattern leaves. The patterns start only where a run of their first
 class starts (or the last match ended), so a long run costs one attempt and not one for each character.
 
-Defined results: null and empty texts have no spans; all spans count code points; repeated rows each get theirs;
-null ids pass through; extra columns are ignored by find and kept by redact.
+Defined results: null and empty texts have no spans; all spans count code points; a very long text is searched whole; spans of
+two kinds may overlap and both stay (redact replaces the kinds in KINDS' order, those that need context first); repeated rows
+each get theirs; null ids pass through; an empty table gives no rows; extra columns are ignored by find and kept by redact.
 """
 
 from __future__ import annotations
@@ -65,29 +67,42 @@ def _proposed(kind: str) -> str:
     return f"if({test}, transform(array({lens}), l -> if(size(l) = 0, {none}, {shifted}))[0], {none})"
 
 
+def _near(kind: str, start: str, end: str) -> str:
+    """A context word of the kind stands within NEAR code points of a span of t."""
+    return f"substr(t, greatest(1, {start} + 1 - {NEAR}), {end} - {start} + 2 * {NEAR}) rlike '(?i)(?<![a-z])(?:{KINDS[kind][4]})'"
+
+
+def _spans(kind: str) -> str:
+    """The kind's spans of t, with scores."""
+    score = KINDS[kind][3]
+    valid = f"filter({_proposed(kind)}, x -> transform(array(x.m), m -> {KINDS[kind][2]})[0])"
+    total = f"if({_near(kind, 'x.s', 'x.e')}, cast({min(1.0, score + CONTEXT)} as double), cast({score} as double))"
+    return f"transform({valid}, x -> struct('{kind}' as kind, x.s as start, x.e as end, {total} as score))"
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of kind, start, end, score; end exclusive) of every row of docs(doc_id, text)."""
     x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     for kind in KINDS:
-        x = x.withColumn(f"p_{kind}", F.expr(f"filter({_proposed(kind)}, x -> transform(array(x.m), m -> {KINDS[kind][2]})[0])"))
-    parts = []
-    for kind, (_, _, _, score, words) in KINDS.items():
-        around = f"substr(t, greatest(1, x.s + 1 - {NEAR}), x.e - x.s + 2 * {NEAR})"
-        total = f"if({around} rlike '(?i)(?<![a-z])(?:{words})', cast({min(1.0, score + CONTEXT)} as double), cast({score} as double))"
-        scored = f"transform(p_{kind}, x -> struct('{kind}' as kind, x.s as start, x.e as end, {total} as score))"
-        parts.append(scored if kind in BASE else f"filter({scored}, x -> x.score >= {LEAST})")
+        x = x.withColumn(f"p_{kind}", F.expr(_spans(kind)))
+    parts = [f"p_{kind}" if kind in BASE else f"filter(p_{kind}, x -> x.score >= {LEAST})" for kind in KINDS]
     return x.select("doc_id", F.expr(f"concat({', '.join(parts)})").alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every kind's confirmed matches in text replaced by the kind's name in brackets, kind after kind; n_found has how many."""
-    kept = [c for c in docs.columns if c not in ("text", "n_found")]
-    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), "text", F.coalesce("text", F.lit("")).alias("t"), F.lit(0).alias("n_found"))
-    for kind, (pattern, test, valid, score, words) in KINDS.items():
-        near = "true" if kind in BASE or score >= LEAST else f"t rlike '(?i)(?<![a-z])(?:{words})'"
+def redact(docs: DataFrame, count: str = "n_found") -> DataFrame:
+    """docs with every kind's spans in text replaced by the kind's name in brackets, kind after kind; count names a column of how many."""
+    kept = [c for c in docs.columns if c not in ("text", count)]
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), "text", F.coalesce("text", F.lit("")).alias("t"), F.lit(0).alias("n"))
+    needs_context = [k for k in KINDS if k not in BASE and KINDS[k][3] < LEAST]
+    for kind in (*needs_context, *(k for k in KINDS if k not in needs_context)):
+        pattern, test, valid, *_ = KINDS[kind]
         x = x.withColumn("found", F.expr(f"if({test}, regexp_extract_all(t, '{pattern}', 0), array())"))
-        x = x.withColumn("right", F.expr(f"transform(found, m -> ({valid}) and {near})"))
+        if kind in needs_context:  # as find has it: the match at this place is one of its spans
+            x = x.withColumn("at", F.expr(f"if(size(found) = 0, array(), {_proposed(kind)})"))
+            x = x.withColumn("right", F.expr(f"zip_with(found, at, (m, x) -> ({valid}) and {_near(kind, 'x.s', 'x.e')})")).drop("at")
+        else:
+            x = x.withColumn("right", F.expr(f"transform(found, m -> ({valid}))"))
         joined = f"array_join(zip_with(split(t, '{pattern}', -1), zip_with(found, right, (m, ok) -> if(ok, '[{kind.upper()}]', m)), (a, b) -> concat(a, coalesce(b, ''))), '')"
-        x = x.withColumns({"t": F.expr(f"if(exists(right, ok -> ok), {joined}, t)"), "n_found": F.expr("n_found + size(filter(right, ok -> ok))")})
+        x = x.withColumns({"t": F.expr(f"if(exists(right, ok -> ok), {joined}, t)"), "n": F.expr("n + size(filter(right, ok -> ok))")})
     text = F.expr("if(text is null, null, t)").alias("text")
-    return x.select(*[text if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns if c != "n_found"], "n_found")
+    return x.select(*[text if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns if c != count], F.col("n").alias(count))

@@ -65,6 +65,7 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(F.expr(listed(f"filter(spans, x -> x.kind in ({base}))")), 256).alias("base_sha256"),
         F.expr(listed("spans")).alias("spans"),
+        F.expr("array_join(transform(spans, x -> cast(x.score as string)), ',')").alias("scores"),
     )
 
 
@@ -91,7 +92,7 @@ select doc_id, cast(n as bigint) as n_words, cast(n - len(k) as bigint) as n_rem
 
 def _op6_sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in license.word_set(text))}], {license.need(len(license.word_set(text)))})" for label, text in license.TEMPLATES)
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in license.word_set(text))}], {license.need(len(license.word_set(text)))}, {license.SPREAD * license.n_words(text)})" for label, text in license.TEMPLATES)
     return f"""
 with d as (select row_number() over () as rid, doc_id, translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}') as t from documents),
 w as (select rid, doc_id, t, regexp_extract_all(t, '{word}') as ws from d),
@@ -99,10 +100,12 @@ b as (select rid, doc_id, len(ws) as n, list_concat(
   list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'mit' and ws[i + 1] = 'license'), lambda i: {{'s': i - 1, 'l': 'mit'}}),
   list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'apache' and ws[i + 1] = 'license'), lambda i: {{'s': i - 1, 'l': 'apache'}}),
   list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' and ws[i + 1] = 'public' and ws[i + 2] = 'license'), lambda i: {{'s': i - 1, 'l': 'gpl'}})) as pl from w),
-tpl(label, words, need) as (values {templates}),
+tpl(label, words, need, span) as (values {templates}),
 lines as (select rid, unnest(string_split(t, chr(10))) as line from w),
-sets as (select rid, list_distinct(regexp_extract_all(line, '{word}')) as s from lines),
-hit as (select rid, label, len(list_intersect(words, s)) / len(words) as share from sets, tpl where len(list_intersect(words, s)) >= need),
+sets as (select rid, regexp_extract_all(line, '{word}') as l from lines),
+cand as (select rid, label, words, need, span, l from sets, tpl where len(list_intersect(words, l)) >= need),
+near as (select rid, label, need, len(words) as size, list_max(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains(words, l[i])), lambda i: len(list_intersect(words, l[i : i + span - 1])))) as shared from cand),
+hit as (select rid, label, shared / size as share from near where shared >= need),
 f as (select rid, list(distinct label) as found, max(share) as best from hit group by rid)
 select doc_id, cast(n as bigint) as n_words, cast(len(pl) as bigint) as n_base,
   cast(list_min(list_transform(pl, lambda x: x.s)) as bigint) as first_word, cast(list_max(list_transform(pl, lambda x: x.s)) as bigint) as last_word,

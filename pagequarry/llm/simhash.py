@@ -6,17 +6,24 @@ Fingerprints that differ in at most RADIUS bits are linked, exactly:
 * Equal fingerprints are merged first, so a group of copies is one point.
 * A vantage-point tree, built on the driver from a bounded sample, deals the points to shards by their Hamming
   distance to each vantage point; a point within half the radius of a boundary also goes to the other side
-  (of two linked points on two sides, one is that near, by the triangle inequality).
-* Each shard prunes the same way until blocks are small and compares those exactly. It returns a spanning
-  forest of its links, never all pairs.
+  (of two linked points on two sides, one is that near, by the triangle inequality). Shards that are still too large
+  get a tree each, built in the tasks from a bounded sample of them, until all are small or none can be split.
+* Each shard prunes the same way until blocks are small and compares those exactly. In a block that no vantage point
+  splits, each point's neighbours are looked up instead. It returns a spanning forest of its links, never all pairs.
 * Components come from alternating star contractions over tables in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; component_id ignores null
-ids (null where a component has none); repeated rows get the same result each; extra columns are ignored.
+ids (null where a component has none); repeated rows get the same result each; rows that share an id but not the text
+are told apart by it, and the smaller key (k1, k2) is first among rows of one id; a very long text is fingerprinted
+whole, its hashes held 64 Ki at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill, steps, texts, tidied, with_row_key
+from .common import discard, scratch, spill, steps, texts, tidied, with_row_key
 
 SHINGLE = 3
 RADIUS = 2
-#: Points that a shard should hold, levels of the routing tree at most, and sampled points for each of its leaves.
+#: Points that a shard should hold, levels of one routing tree (larger inputs get trees under its leaves), and sampled points for each leaf.
 SHARD = 16_384
-MAX_DEPTH = 10
+TREE_DEPTH = 10
+#: Trees that are built and sent to the tasks at once, of at most 2 ** TREE_DEPTH nodes each.
+TREES = 1024
 SAMPLE = 64
 #: Points compared all with all at once.
 BLOCK = 1024
@@ -138,10 +147,28 @@ class Forest:
                 self.root = up
 
 
+def _masks(radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(64), r)]
+
+
+def link_neighbours(x: np.ndarray, at: np.ndarray, radius: int, groups: Forest) -> None:
+    """Link the points x[at], distinct and sorted, by looking up what each could be at most radius bits away."""
+    own = x[at]
+    for mask in _masks(radius):
+        near = own ^ np.uint64(mask)
+        k = np.searchsorted(own, near)
+        hit = np.flatnonzero(own[np.minimum(k, len(own) - 1)] == near)
+        hit = hit[k[hit] < len(own)]
+        hit = hit[k[hit] > hit]
+        if len(hit):
+            groups.link(at[hit], at[k[hit]])
+
+
 def link_close(x: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct points x, the smallest index that each is linked to, over links among these points."""
+    """For distinct points x in order, the smallest index that each is linked to, over links among these points."""
     groups = Forest(len(x))
     todo, near = [np.arange(len(x))], _reach(radius)
+    lookups = sum(comb(64, r) for r in range(1, radius + 1))
     while todo:
         at = todo.pop()
         found = _split(x[at], radius) if len(at) > BLOCK else None
@@ -149,6 +176,9 @@ def link_close(x: np.ndarray, radius: int) -> np.ndarray:
             d = _distance(x[at], found[0])
             todo += [at[d < found[1] + near[0]], at[d >= found[1] - near[1]]]
             continue
+        if len(at) > max(BLOCK, 2 * lookups):
+            link_neighbours(x, at, radius, groups)
+            continue
         for i in range(0, len(at), BLOCK):
             for j in range(i, len(at), BLOCK):
                 p, q = at[i : i + BLOCK], at[j : j + BLOCK]
@@ -159,19 +189,58 @@ def link_close(x: np.ndarray, radius: int) -> np.ndarray:
     return groups.root
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: a forest that connects all distinct fingerprints (column fp) at most radius bits apart, and only those."""
-    n = points.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE << depth).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
-    tree = build_tree(sample, depth, radius)
+def _router(trees: dict, radius: int):
+    """Deals points (shard, fp) on by their shard's tree; a shard without one keeps its points."""
 
-    def shards(batches):
+    def run(batches):
         for batch in batches:
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, at in route(x, tree, radius):
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(x[at].view(np.int64))], ["shard", "fp"])
+            shard, x = batch.column("shard").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for s in np.unique(shard).tolist():
+                own = np.flatnonzero(shard == s)
+                for leaf, at in route(x[own], trees[s], radius) if s in trees else [(None, np.arange(len(own)))]:
+                    if len(at):
+                        to = s if leaf is None else s * (1 << TREE_DEPTH + 1) + leaf  # numbers of deeper shards are larger than all above
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to, np.int64)), pa.array(x[own[at]].view(np.int64))], ["shard", "fp"])
+
+    return run
+
+
+def _depth(n: float) -> int:
+    return min(TREE_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
+
+
+def _shards(points: DataFrame, radius: int) -> DataFrame:
+    """shard, fp: each point in every shard that it may have partners in; shards of about SHARD points, as far as they can be split."""
+    spark, n = points.sparkSession, points.count()
+    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE << _depth(n)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if _depth(n) else np.zeros(0, np.uint64)
+    route_first = _router({0: build_tree(sample, _depth(n), radius)}, radius)
+    shards = points.select(F.lit(0).cast("long").alias("shard"), "fp").mapInArrow(tidied(route_first), "shard long, fp long")
+    if n <= SHARD << TREE_DEPTH:
+        return shards
+    shards = spill(shards, "shards")
+    whole: list[int] = []  # shards that no tree splits, TREES a pass at most
+    while True:
+        large = shards.groupBy("shard").agg(F.count("*").alias("n")).where((F.col("n") > 4 * SHARD) & (F.col("shard") < 1 << 62 - TREE_DEPTH))
+        sizes = {r["shard"]: r["n"] for r in large.where(~F.col("shard").isin(whole)).orderBy(F.col("n").desc(), "shard").limit(TREES).collect()}
+        if not sizes:
+            return shards
+        # a bounded sample of each large shard, by the points' hashes
+        share = spark.createDataFrame([(k, min(1.0, 2.0 * (SAMPLE << _depth(v)) / v), v) for k, v in sizes.items()], "shard long, share double, n long")
+        drawn = shards.join(F.broadcast(share), "shard").where(F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+            return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(build_tree(x, _depth(float(pdf["n"].iloc[0])), radius))]})
+
+        trees = {r["shard"]: pickle.loads(r["tree"]) for r in drawn.groupBy("shard").applyInPandas(build, "shard long, tree binary").collect()}  # TREES at most
+        whole += [k for k in sizes if trees.get(k) is None]
+        trees = {k: t for k, t in trees.items() if t is not None}
+        if trees:
+            shards = spill(shards.mapInArrow(tidied(_router(trees, radius)), "shard long, fp long"), "shards")
+
+
+def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: a forest that connects all distinct fingerprints (column fp) at most radius bits apart, and only those."""
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64))
@@ -179,7 +248,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         at = np.flatnonzero(root != np.arange(len(x)))
         return pd.DataFrame({"u": x[at].view(np.int64), "v": x[root[at]].view(np.int64)})
 
-    return points.select("fp").mapInArrow(tidied(shards), "shard int, fp long").groupBy("shard").applyInPandas(forest, "u long, v long")
+    return _shards(points, radius).groupBy("shard").applyInPandas(forest, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,19 +257,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node's larger neighbours are moved to its smallest one (large star), then every node and its
     smaller neighbours to the smallest (small star), until nothing changes. Each round's edges go to a table in the shared folder.
     """
-    e = spill(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    spark, old = edges.sparkSession, []
+    with scratch() as made:
+        e = spill(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     before = None
     while True:
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = spill(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = spill(small.distinct(), "small")
+        before, old = state, made
+        with scratch() as made:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = spill(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v")))
+            e = spill(small.distinct(), "small")
+        discard(spark, [*old, *made[:-1]])  # the round before, and this one's own first half
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -11,11 +11,13 @@ Skew: a first pass counts word groups in a fixed number of cells; groups in over
 minimisers only where a window has no other. Equal packed strings are merged before the shuffle, and again as a bucket
 reads them. Buckets get no occurrences: they return the ranges of repeated strings, and a second scan joins its places
 with these by the string's 128-bit name, so a passage of a third of all rows is a skewed join that can be split.
-Packed strings travel compressed, with a dictionary of word parts.
+Packed strings travel compressed, with a dictionary of word parts. A bucket whose distinct strings pass BUCKET_BYTES is
+not held: it returns its strings, whose windows are dealt again, each by its own 128-bit hash, and counted by an aggregation.
 
 Defined results: null and empty texts have no words (n_words 0, the hash of the empty string); texts under
 WINDOW words lose nothing; rows that repeat a document lose every word that a window covers, as each window
-starts again in the other row; null ids stay null. Extra columns are ignored.
+starts again in the other row; null ids stay null; a very long text counts whole (a task holds one such text at a time); an
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ HOT = 4
 #: Bytes of packed strings that are merged before they are sent, and of windows sorted at once.
 MERGE_BYTES = 16 << 20
 SORT_BYTES = 32 << 20
+#: Compressed bytes of one bucket's distinct strings that a task holds.
+BUCKET_BYTES = 32 << 20
 
 #: Bits of the bitmap of repeated strings: the bound of what is sent to every task.
 BITS = 1 << 20
@@ -216,12 +220,17 @@ def _repeated(strings: list[bytes], counts: list[int], window: int) -> list[list
     return out
 
 
-def _count_windows(window: int, words: bytes):
-    """Word ranges lo, hi that windows which occur again cover, in the packed strings named p1, p2."""
+_REPEATS = "p1 long, p2 long, lo int, hi int, packed binary, n int"
+
+
+def _count_windows(window: int, words: bytes, limit: int):
+    """Word ranges lo, hi that windows which occur again cover, in the packed strings named p1, p2; of a bucket of more than limit
+    bytes the packed strings themselves, with n, and no range."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress
         out: list[tuple[bytes, int, int]] = []
+        late: list[tuple[bytes, int]] = []
 
         def solve(rows: dict[bytes, int]):
             if len(rows) == 1 and 1 in rows.values():
@@ -241,27 +250,65 @@ def _count_windows(window: int, words: bytes):
                         out.append((_name(packed), int(part[0]), int(part[-1]) + window))
 
         def flush():
-            names, lo, hi = zip(*out)
-            p = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["p1", "p2", "lo", "hi"])
-
-        key, rows = None, {}
+            p = np.frombuffer(b"".join(o[0] for o in out) + bytes(16 * len(late)), "<i8").reshape(-1, 2)
+            none = [None] * len(late)
+            columns = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([o[1] for o in out] + none, pa.int32()), pa.array([o[2] for o in out] + none, pa.int32())]
+            columns += [pa.array([None] * len(out) + [x for x, _ in late], pa.binary()), pa.array([None] * len(out) + [n for _, n in late], pa.int32())]
+            out.clear()
+            late.clear()
+            return pa.RecordBatch.from_arrays(columns, ["p1", "p2", "lo", "hi", "packed", "n"])
+
+        key, rows, held, over = None, {}, 0, False
         for batch in batches:
             for mini, packed, n in zip(*(batch.column(c).to_pylist() for c in ("mini", "packed", "n"))):
                 if mini != key:
                     solve(rows)
-                    key, rows = mini, {}
+                    key, rows, held, over = mini, {}, 0, False
                     if len(out) > 50_000:
                         yield flush()
-                        out.clear()
-                rows[packed] = min(2, rows.get(packed, 0) + n)
+                if not over and packed not in rows:
+                    held += len(packed)
+                    if held > limit:
+                        over = True
+                        late += rows.items()
+                        rows = {}
+                if over:
+                    late.append((packed, n))
+                    if len(late) > 50_000:
+                        yield flush()
+                else:
+                    rows[packed] = min(2, rows.get(packed, 0) + n)
         solve(rows)
-        if out:
+        if out or late:
             yield flush()
 
     return run
 
 
+def _dealt_again(window: int, words: bytes):
+    """w1, w2 (hash of a window), n, and the packed string's name and place: the windows of packed strings."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress
+        for batch in batches:
+            for packed, n in zip(batch.column("packed").to_pylist(), batch.column("n").to_pylist()):
+                whole = unpack(packed)
+                starts, ends = _edges(whole)
+                count = len(starts) - window + 1
+                w = np.frombuffer(b"".join(_name(whole[starts[i] : ends[i + window - 1]]) for i in range(count)), "<i8").reshape(-1, 2)
+                p1, p2 = np.frombuffer(_name(whole), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(count, n, np.int32)), pa.array(np.full(count, p1)), pa.array(np.full(count, p2)), pa.array(np.arange(count, dtype=np.int32))], ["w1", "w2", "n", "p1", "p2", "lo"])
+
+    return run
+
+
+def _overfull(late: DataFrame, window: int, words: bytes) -> DataFrame:
+    """p1, p2, lo, hi of the repeated windows of overfull buckets' packed strings: counts by window, joined back."""
+    windows = spill(late.select("packed", "n").mapInArrow(tidied(_dealt_again(window, words)), "w1 long, w2 long, n int, p1 long, p2 long, lo int"), "windows")
+    again = spill(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "again")
+    return windows.join(again, ["w1", "w2"]).select("p1", "p2", "lo").distinct().withColumn("hi", F.col("lo") + window)
+
+
 def _removed(batches):
     for batch in batches:
         n_words, n_removed, sha, kept_text = [], [], [], []
@@ -298,7 +345,7 @@ def _dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """k1, k2 (see with_row_key), lo, hi: word ranges covered by windows that occur again. Ranges may overlap."""
     keyed = with_row_key(docs.select("doc_id", "text")).select("k1", "k2", "text")
     cells = keyed.select("text").mapInArrow(tidied(_count_cells(mgram, window)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -307,16 +354,19 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -
     kmers = SuperKmers(mgram, window, np.packbits(counts > HOT * max(1.0, counts.mean()), bitorder="little").tobytes())
     words = _dictionary(keyed)
     dealt = keyed.select("text").mapInArrow(tidied(_dealt(kmers, words)), "mini long, packed binary, n int").repartition("mini").sortWithinPartitions("mini")
-    repeats = spill(dealt.mapInArrow(tidied(_count_windows(window, words)), "p1 long, p2 long, lo int, hi int"), "repeats")
+    found = spill(dealt.mapInArrow(tidied(_count_windows(window, words, bucket_bytes)), _REPEATS), "repeats")
+    repeats, late = found.where("packed is null").select("p1", "p2", "lo", "hi"), found.where("packed is not null")
+    if late.limit(1).count():
+        repeats = spill(repeats.unionByName(_overfull(late, window, words)), "repeats")
     bits = np.zeros(BITS, bool)
     bits[repeats.select(F.col("p1").bitwiseAND(F.lit(BITS - 1)).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)] = True  # at most BITS
     places = keyed.mapInArrow(tidied(_placed(kmers, np.packbits(bits, bitorder="little").tobytes())), "p1 long, p2 long, k1 long, k2 int, at int")
     return places.join(repeats, ["p1", "p2"]).select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, mgram: int = MGRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of docs(doc_id, text)."""
-    found = spill(repeated_ranges(docs, window, mgram), "ranges")
+    found = spill(repeated_ranges(docs, window, mgram, bucket_bytes), "ranges")
     ranges = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges")
     clean, maybe = split_by_marks(with_row_key(docs.select(F.col("doc_id").cast("long"), "text")), found)

@@ -7,8 +7,10 @@ decodes one frame at a time, and checks magic numbers, versions, mandatory heade
 
 Payloads of equal digest and length are stored once: the record with the largest page_id is the response, the others
 revisit it. Defined results: null html is the empty payload; rows that tie on page_id and payload are all responses;
-a null page_id is the smallest, and written as an empty value; null urls are written as urn:page:<page_id>; an
-empty table gives no archive and no rows; extra columns are ignored.
+a null page_id is the smallest, and written as an empty value; null urls are written as urn:page:<page_id>; a very long
+payload is one frame, which a task holds whole; an empty table gives no archive and no rows; extra columns are ignored.
+Record ids are made of page_id, payload and the row's place in the table, so repeated rows have their own and a revisit names
+its response's (of tied responses the last row's).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, spill, tidied
+from .common import qualified, shared_dir, spill, tidied
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -40,24 +42,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> bytes:
+def record_id(page_id, sha: str, place: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha}:{place}')}>"
+
+
+def record(page_id, url, payload: bytes, refers_to, revisit: bool, place: int = 0, refers_place: int = 0) -> bytes:
     """One WARC record. A revisit holds the HTTP header only; its Content-Length there is that of the full payload."""
+    sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     ident = "" if page_id is None else str(page_id)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{ident}:{url}')}>",
+        f"WARC-Record-ID: {record_id(page_id, sha, place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or f'urn:page:{ident}').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
         f"X-Page-Id: {ident}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha, refers_place)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += [f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -198,24 +205,22 @@ def unpacked(fields: dict[str, str], block: bytes) -> tuple:
 def write_archives(pages: DataFrame, folder: str | None = None, roll: int = ROLL) -> DataFrame:
     """Archive every row of pages(page_id, url, html); archive: the files' URIs."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = folder.replace("file:///", "file:/").replace("file:/", "file:///")
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("place"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     # only payloads that several rows have travel to the join's small side
-    several = spill(rows.groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "last"), "payloads")
-    rows = rows.join(several, ["sha", "size"], "left").select("page_id", "url", "html", "last", (F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))).alias("again"))
+    several = spill(rows.groupBy("sha", "size").agg(F.max(F.struct("page_id", "place")).alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "last"), "payloads")
+    again = F.col("last").isNotNull() & ~F.col("last.page_id").eqNullSafe(F.col("page_id"))
+    rows = rows.join(several, ["sha", "size"], "left").select("page_id", "url", "html", "place", F.col("last.page_id").alias("last"), F.col("last.place").alias("last_place"), again.alias("again"))
 
     def run(batches):
         w = Writer(folder, roll)
         for batch in batches:
             html = batch.column("html")
-            for k, (page_id, url, last, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "last", "again")))):
-                w.add(record(page_id, url, html[k].as_py().encode(), last, again))
+            for k, (page_id, url, place, last, last_place, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "place", "last", "last_place", "again")))):
+                w.add(record(page_id, url, html[k].as_py().encode(), last, again, place, last_place or 0))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in w.closed()], pa.string())], ["archive"])
 
     return spill(rows.mapInArrow(tidied(run), "archive string"), "archives")
