@@ -191,6 +191,7 @@ def link_close(x: np.ndarray, radius: int) -> np.ndarray:
 
 def _router(trees: dict, radius: int):
     """Deals points (shard, fp) on by their shard's tree; a shard without one keeps its points."""
+    width = 1 << TREE_DEPTH + 1
 
     def run(batches):
         for batch in batches:
@@ -199,7 +200,7 @@ def _router(trees: dict, radius: int):
                 own = np.flatnonzero(shard == s)
                 for leaf, at in route(x[own], trees[s], radius) if s in trees else [(None, np.arange(len(own)))]:
                     if len(at):
-                        to = s if leaf is None else s * (1 << TREE_DEPTH + 1) + leaf  # numbers of deeper shards are larger than all above
+                        to = s if leaf is None else s * width + leaf  # numbers of deeper shards are larger than all above
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to, np.int64)), pa.array(x[own[at]].view(np.int64))], ["shard", "fp"])
 
     return run
@@ -225,12 +226,12 @@ def _shards(points: DataFrame, radius: int) -> DataFrame:
         if not sizes:
             return shards
         # a bounded sample of each large shard, by the points' hashes
-        share = spark.createDataFrame([(k, min(1.0, 2.0 * (SAMPLE << _depth(v)) / v), v) for k, v in sizes.items()], "shard long, share double, n long")
+        share = spark.createDataFrame([(k, min(1.0, 2.0 * (SAMPLE << _depth(v)) / v), _depth(v)) for k, v in sizes.items()], "shard long, share double, depth int")
         drawn = shards.join(F.broadcast(share), "shard").where(F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.sort(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-            return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(build_tree(x, _depth(float(pdf["n"].iloc[0])), radius))]})
+            return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(build_tree(x, int(pdf["depth"].iloc[0]), radius))]})
 
         trees = {r["shard"]: pickle.loads(r["tree"]) for r in drawn.groupBy("shard").applyInPandas(build, "shard long, tree binary").collect()}  # TREES at most
         whole += [k for k in sizes if trees.get(k) is None]

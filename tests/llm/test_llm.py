@@ -469,3 +469,182 @@ def test_tokens_are_decoded(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.bpe, "encode", lambda docs, ranks, **more: seen.update(more) or docs)
     corpus_pipeline.encode(spark, spark.createDataFrame([(1, "q", "en", "s")], "doc_id long, text string, lang string, source string"), "")
     assert seen == {"check": True}
+
+
+def pipeline_tables(spark, tmp_path, rows, ddl, labels, items):
+    docs = spark.createDataFrame(rows, ddl)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return docs
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, mark string, k1 string, k2 string, row string, first string, quality_score string, n_found string, item_id string, kept string, t string"
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    extra = tuple("abcdefghij")
+    long = prose(rng, 30_000)
+    leak = prose(rng, 25).lower()
+    rows = [(k, prose(rng, 90), "en", None, None, *extra) for k in range(60)]
+    rows += [(500 + k, " ".join(w.upper() + "!!" for w in prose(rng, 90).split()), "en", "s", 0, *extra) for k in range(30)]
+    rows += [(3, rows[3][1], "de", "z", 7, *extra), (3, rows[3][1], "en", "a", 7, *extra), (None, rows[5][1], None, None, None, *extra), (None, prose(rng, 80), None, None, None, *extra), (700, None, "en", "s", 0, *extra), (701, "", "en", "s", 0, *extra)]
+    rows += [(702, " \n\t", "en", "s", 0, *extra), (703, long, "en", "s", 1, *extra), (704, prose(rng, 60) + f" {leak} " + prose(rng, 60), "en", "s", 0, *extra), (705, prose(rng, 60) + " me@mail.example.com", None, None, 9, *extra)]
+    docs = pipeline_tables(spark, tmp_path, rows, CLASHING, [(d, int(not 500 <= d < 600), 0) for d, *_ in rows if d is not None], [(1, leak), (2, None)])
+    kept = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept.write.parquet(f"{tmp_path}/{k}")
+        kept = spark.read.parquet(f"{tmp_path}/{k}")
+    got = kept.collect()
+    assert all(tuple(r)[5:] == extra for r in got)
+    assert sorted((r.doc_id for r in got), key=lambda d: (d is None, d)) == [*range(60), 703, 705, None]
+    by = {r.doc_id: r for r in got}
+    assert (by[3].lang, by[3].source, by[3].n_chars) == ("de", "z", 7)  # of the three rows the first by its JSON
+    assert by[705].n_chars == len(by[705].text) and by[4].n_chars is None and by[703].text == long and by[703].n_chars == 1
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and out.count() == len(got)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = pipeline_tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", [], [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_folder_needs_a_cluster_setting(spark, monkeypatch):
+    from pagequarry.llm import common
+
+    assert common.shared_dir(spark).startswith("file:///")
+    assert common.qualified(spark, "/x/y") == "file:///x/y"
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *_: None)}), Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
+def test_spills_are_discarded(spark):
+    from pathlib import Path
+
+    from pagequarry.llm import common
+
+    with common.scratch() as made:
+        common.spill(spark.range(3).toDF("x"), "own")
+    at = Path(made[0].removeprefix("file://"))
+    assert at.exists()
+    common.discard(spark, made)
+    assert not at.exists() and not common._written
+
+
+def test_overfull_buckets(docs, corpus):
+    words = [WORD.findall(t or "") for _, t in corpus]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = [(d, len({i + j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(35)})) for (d, _), w in zip(corpus, words)]
+    for limit in (0, 600):
+        same([(r.doc_id, r.n_removed) for r in substring.remove_repeated(docs, bucket_bytes=limit).collect()], want)
+
+
+def test_trees_under_trees(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, x[:600] ^ np.uint64(1 << 5) ^ np.uint64(1 << 40)]))
+    for name, value in (("SHARD", 40), ("TREE_DEPTH", 2), ("BLOCK", 16), ("SAMPLE", 64)):
+        monkeypatch.setattr(simhash, name, value)
+    points = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    shards = simhash._shards(points, 2)
+    assert shards.agg(F.max("shard")).first()[0] >= 1 << 3  # dealt on
+    want = components([int(v) for v in x], [int(v) for v in x.view(np.int64)])
+    got = {r.node: r.root for r in simhash.components(simhash.links(points)).collect()}
+    assert [got.get(int(v), int(v)) for v in x.view(np.int64)] == want
+
+
+def test_neighbours_are_looked_up():
+    rng = np.random.default_rng(8)
+    base = np.uint64(0xF0F0F0F0F0F0F0F0)
+    flips = [sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 6)), replace=False)) for _ in range(400)]
+    x = np.unique(np.array([int(base) ^ f for f in flips], np.uint64))
+    groups = simhash.Forest(len(x))
+    simhash.link_neighbours(x, np.arange(len(x)), 2, groups)
+    want = components([int(v) for v in x], list(range(len(x))))
+    assert groups.root.tolist() == want
+
+
+def test_scores_do_not_depend_on_company():
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    x = quality.features(pa.array([prose(rng, rng.randint(3, 60)) + "!" * (k % 3 * 20) for k in range(300)]))
+    m = quality.Model(x[:200], np.array([float(k % 3 > 0) for k in range(200)]), 0.7)
+    whole = m.score(x)
+    assert all((m.score(x[a:b]) == whole[a:b]).all() for a, b in ((0, 1), (17, 18), (3, 120), (250, 300)))
+    twice = quality.Model(np.vstack([x[:30]] * 4), np.array([0.0, 1.0] * 60), 0.5)  # many equal neighbours
+    assert (twice.score(x[:50]) == twice.score(x[:50][::-1])[::-1]).all()
+
+
+def test_large_groups_of_near_copies(spark):
+    from pagequarry.llm import nearcopies
+
+    rng = random.Random(15)
+    base = prose(rng, 150).split()
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for j in range(1 + k % 4):
+            w[(k * 7 + j * 31) % len(w)] = f"z{k}"
+        rows.append((k, " ".join(w)))
+    rows.append((99, prose(rng, 100)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted((r.doc_id, r.component_id) for r in nearcopies.near_copies(df).collect())
+    assert sorted((r.doc_id, r.component_id) for r in nearcopies.near_copies(df, group=6).collect()) == whole
+    assert sum(c == 0 for _, c in whole) > 20
+
+
+def test_one_rule_for_context(spark):
+    far, near = "ssn " + "word " * 30 + "123-45-6789", "my SSN is 123-45-6789, or 078-05-1120 " + "x" * 60 + " 219-09-9999"
+    rows = [(1, far), (2, near), (3, "123-45-6789"), (4, "a@b.cd ssn 123-45-6789 a@b.cd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: sum(s.kind == "ssn" for s in r.spans) for r in pii.find(df).collect()}
+    masked = {r.doc_id: r.text.count("[SSN]") for r in pii.redact(df).collect()}
+    assert spans == masked == {1: 0, 2: 2, 3: 0, 4: 1}
+    scores = {s.kind: s.score for r in pii.find(spark.createDataFrame([(1, "call +1 555 010 9999 now " + "y" * 60 + " 10.0.0.1")], "doc_id long, text string")).collect() for s in r.spans}
+    assert scores == {"phone": 0.95, "ip": 0.7}
+
+
+def test_words_of_a_notice_scattered(spark):
+    rng = random.Random(16)
+    words = [w for label, t in license.TEMPLATES if label in ("apache", "reserved") for w in license.word_set(t)]
+    filler = [f"w{k}" for k in range(3000)]
+    for k, w in enumerate(words):
+        filler[(k + 1) * 3000 // (len(words) + 1)] = w
+    together = " ".join(filler[:1500] + ["All", "rights", "are", "reserved"] + filler[1500:])
+    mit = next(t for label, t in license.TEMPLATES if label == "mit" and len(t) > 80)
+    rows = [(1, " ".join(filler)), (2, together), (3, f"{prose(rng, 400)} {mit} {prose(rng, 400)}"), (4, mit.replace(" ", " x ")), (5, mit.replace(" ", " x y z "))]
+    got = {r.doc_id: sorted(r.found) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: ["reserved"], 3: ["mit"], 4: ["mit"], 5: []}
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "same"), (5, "v", "same"), (5, "v", "same"), (9, "w", "other")], "page_id long, url string, html string")
+    import pyarrow.fs as pafs
+
+    fields = []
+    for uri in [r.archive for r in warc.write_archives(pages, str(tmp_path / "a")).collect()]:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(path, compression=None) as f:
+            fields += [warc.parse(rec)[0] for rec in warc.frames(f)]
+    ids = [f["warc-record-id"] for f in fields]
+    assert len(set(ids)) == 4
+    (revisit,) = [f for f in fields if f["warc-type"] == "revisit"]
+    assert revisit["warc-refers-to"] in {f["warc-record-id"] for f in fields if f["x-page-id"] == "5"}
