@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .stats import level_to_grade
-from .text import CIRCLED, clean
+from .stats import half_up, level_to_grade
+from .text import CIRCLED, clean, latex_to_plain
 
 PROBLEM = (
     "problem_number string, passage string, question string, choices array<string>, has_figure_or_diagram boolean, topic string, difficulty_level int, difficulty_reasoning string"
 )
+#: Fixed value: the example in the prompt that models copy where there is no passage.
+PLACEHOLDER = "^공통 지문이 있는 경우 여기에 작성, 없으면 null$"
 #: Words that open with a JSON escape's letter but are LaTeX.
 LATEX_WORDS = ("beta", "bar", "begin", "big", "binom", "bot", "boxed", "frac", "forall", "nabla", "ne", "neq", "neg", "not", "nu", "notin", "rho", "right", "rightarrow", "rangle", "text", "theta", "times", "to", "triangle", "tan", "tau")
 
@@ -115,16 +117,16 @@ def reply_json(s: pd.Series) -> pd.Series:
 
 
 def normalise_problem(p: Column) -> Column:
-    """A string-typed problem struct as the fixed schema: choices split at circled digits, level from its number, flag from its words."""
-    level = F.nullif(F.regexp_extract(F.coalesce(p["difficulty_level"], F.lit("")), r"^\D*([0-9]+)", 1), F.lit("")).try_cast("int")
-    listed = F.from_json(p["choices"], "array<string>")
-    split = F.filter(F.transform(F.split(p["choices"], f"(?=[{CIRCLED}])"), lambda c: F.trim(c)), lambda c: c != "")
+    """A string-typed problem struct as the fixed schema: choices split at circled digits, level from the number it begins with, rounded, flag from its words."""
+    level = half_up(F.nullif(F.regexp_extract(F.coalesce(p["difficulty_level"], F.lit("")), r"^\s*([0-9]+(?:\.[0-9]+)?)(?![0-9])", 1), F.lit("")).try_cast("double")).cast("int")
+    listed = F.filter(F.transform(F.from_json(p["choices"], "array<string>"), clean), lambda c: c.isNotNull())
+    split = F.filter(F.transform(F.split(p["choices"], f"(?=[{CIRCLED}])"), clean), lambda c: c.isNotNull())
     return F.struct(
         clean(p["problem_number"]).alias("problem_number"),
-        clean(p["passage"]).alias("passage"),
+        clean(p["passage"], PLACEHOLDER).alias("passage"),
         clean(p["question"]).alias("question"),
         F.coalesce(listed, split, F.array().cast("array<string>")).alias("choices"),
-        F.lower(F.coalesce(p["has_figure_or_diagram"], F.lit(""))).isin("true", "yes", "있음").alias("has_figure_or_diagram"),
+        F.lower(F.trim(F.coalesce(p["has_figure_or_diagram"], F.lit("")))).isin("true", "yes", "있음").alias("has_figure_or_diagram"),
         clean(p["topic"]).alias("topic"),
         F.when(level.between(1, 5), level).alias("difficulty_level"),
         clean(p["difficulty_reasoning"]).alias("difficulty_reasoning"),
@@ -144,10 +146,52 @@ def primary_index(found: Column, number: Column) -> Column:
 
 
 def summarise(df: DataFrame, found: str, number: str) -> DataFrame:
-    """df with the primary problem's level, grade, topic and reason."""
+    """df with the primary problem's level, grade, topic, subject (of the topic's text) and reason; types_from_analysis gives its type."""
     x = df.withColumn("primary", primary_index(F.col(found), F.col(number)))
     p = F.get(F.col(found), F.col("primary"))
-    return x.withColumns({"difficulty": p["difficulty_level"], "grade_llm": level_to_grade(p["difficulty_level"]), "topic": p["topic"], "llm_reason": p["difficulty_reasoning"]})
+    return x.withColumns({"difficulty": p["difficulty_level"], "grade_llm": level_to_grade(p["difficulty_level"]), "topic": p["topic"], "subject_llm": subject_of(p["topic"]), "llm_reason": p["difficulty_reasoning"]})
+
+
+#: Subjects that a topic's text may begin with.
+SUBJECTS = ("공통수학1", "공통수학2", "대수", "미적분I", "미적분II", "수학(상)", "수학(하)", "수학I", "수학II", "미적분", "확률과 통계", "기하")
+
+
+def subject_form(c: Column) -> Column:
+    """A subject's name without spaces and brackets; 1 and 2 as I and II behind 수학 and 미적분, the other way round behind 공통수학."""
+    roman = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("Ⅱ"), F.lit("II")), F.lit("Ⅰ"), F.lit("I"))
+    t = F.regexp_replace(roman, r"[\s()（）]", "")
+    t = F.regexp_replace(F.regexp_replace(t, "^(수학|미적분)1(?![0-9])", "$1I"), "^(수학|미적분)2(?![0-9])", "$1II")
+    return F.regexp_replace(F.regexp_replace(t, "^공통수학II(?![A-Za-z])", "공통수학2"), "^공통수학I(?![A-Za-z])", "공통수학1")
+
+
+def subject_of(topic: Column, subjects: tuple[str, ...] = SUBJECTS) -> Column:
+    """The subject that a topic's text begins with, the longest of several; null if none."""
+    t = subject_form(topic)
+    hits = F.array(*[F.when(F.startswith(t, subject_form(F.lit(s))), F.struct(F.length(subject_form(F.lit(s))).alias("n"), F.lit(s).alias("name"))) for s in subjects])
+    return F.array_max(F.filter(hits, lambda x: x.isNotNull()))["name"]
+
+
+def unit_of(topic: Column) -> Column:
+    """The last part of a topic's text, behind dashes, colons or bars."""
+    return F.coalesce(F.try_element_at(F.filter(F.split(F.coalesce(topic, F.lit("")), r"\s*[-–—:>|]\s*"), lambda x: x != ""), F.lit(-1)), F.lit(""))
+
+
+def body_of(problem: Column) -> Column:
+    """A problem's passage, question and choices as plain text, for rules."""
+    parts = F.concat(F.array(problem["passage"], problem["question"]), F.coalesce(problem["choices"], F.array().cast("array<string>")))
+    return latex_to_plain(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n"))
+
+
+def types_from_analysis(df: DataFrame, problem: str, subject: str, out: str = "type_llm", **how) -> DataFrame:
+    """df with out: the type that a problem's unit names, else its whole topic, else its text (how: as of operators.classify.normalise_types)."""
+    from ..operators.classify import normalise_types
+
+    p = F.col(problem)
+    x = df.withColumns({"_unit": unit_of(p["topic"]), "_topic": F.coalesce(p["topic"], F.lit("")), "_body": body_of(p)})
+    for c in ("_unit", "_topic", "_body"):
+        x = normalise_types(x, c, subject, out=f"{c}_type", **how)
+    found = F.coalesce("_unit_type", "_topic_type", "_body_type")
+    return x.select(*[c for c in df.columns if c != out], found.alias(out))
 
 
 def reply_text(provider: Column, body: Column) -> Column:

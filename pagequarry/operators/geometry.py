@@ -25,9 +25,30 @@ def text_in_boxes(lines: DataFrame, boxes: DataFrame, scope: list[str], ident: s
     return rows.groupBy(*scope, ident).agg(text.alias("text"))
 
 
-def point_in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, scope: list[str]) -> DataFrame:
-    """Points with the intervals that hold them; scope is the equality that the join is dealt by."""
-    return points.join(intervals, scope).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
+def bins(low: Column, high: Column, width: float) -> Column:
+    """Numbers of the bins of that width that an interval touches."""
+    return F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
+
+
+def point_in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, scope: list[str], width: float | None = None) -> DataFrame:
+    """Points with the intervals that hold them; scope is the equality that the join is dealt by.
+
+    With a width, also the bin: an interval stands in each bin it touches, a point in one, so that points meet only intervals of
+    their bin. Take about the usual length of an interval, or several times it; a long one has a row for each of its bins.
+    """
+    inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    if width is None:
+        return points.join(intervals, scope).where(inside)
+    p = points.withColumn("_bin", F.floor(F.col(at) / width).cast("long"))
+    i = intervals.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(bins(F.col(start), F.col(end), width)))
+    return p.join(i, [*scope, "_bin"]).where(inside).drop("_bin")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, scope: list[str], a: str, b: str, reach: float) -> DataFrame:
+    """Rows of left and right of one scope whose values a and b are at most reach apart: left's row stands in its bin of that width and both beside it."""
+    l = left.withColumn("_bin", F.explode(bins(F.col(a) - reach, F.col(a) + reach, reach)))
+    r = right.withColumn("_bin", F.floor(F.col(b) / reach).cast("long"))
+    return l.join(r, [*scope, "_bin"]).where(F.abs(F.col(a) - F.col(b)) <= reach).drop("_bin")
 
 
 def pick_last(boxes: DataFrame, x: float, y: float, order: str) -> DataFrame:
@@ -35,6 +56,11 @@ def pick_last(boxes: DataFrame, x: float, y: float, order: str) -> DataFrame:
     return boxes.where((F.col("x0") <= x) & (F.col("x1") >= x) & (F.col("y0") <= y) & (F.col("y1") >= y)).orderBy(F.col(order).desc()).limit(1)
 
 
+def near_start(y: Column, height: Column, page_height: Column, starts: Column, share: float = 0.014) -> Column:
+    """A visual start (array of y0, h) stands beside a line: closer than the taller of both, and than share of the page."""
+    return F.coalesce(F.exists(starts, lambda v: F.abs(v["y0"] - y) < F.greatest(height, v["h"], share * page_height)), F.lit(False))
+
+
 def column_of(x: Column, columns: Column) -> Column:
     """Index of the column (array of x0, x1) that holds x; null if none."""
     hits = F.transform(columns, lambda c: (x >= c["x0"]) & (x < c["x1"]))
@@ -55,13 +81,14 @@ def add_fragment(fragments: Column, new: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
-def adaptive_blocks(df: DataFrame, group: list[str], at: str, tie: str, factor: float = 1.8, least: float = 0.0) -> DataFrame:
-    """df with gap and block: a row starts a block where its gap exceeds factor times the group's upper median of positive gaps (and least)."""
+def adaptive_blocks(df: DataFrame, group: list[str], at: str, tie: str, factor: float = 1.8, least: float = 0.0, cut: Column | None = None) -> DataFrame:
+    """df with gap and block: a row starts a block where its gap exceeds factor times the group's upper median of positive gaps (and least), or where cut holds."""
     order = Window.partitionBy(*group).orderBy(at, tie)
     x = df.withColumn("gap", F.col(at) - F.lag(at).over(order))
     typical = x.where("gap > 0").groupBy(*group).agg(upper_median(F.collect_list("gap")).alias("_typical"))
     x = x.join(typical, group, "left")
     starts = F.coalesce(F.col("gap") > F.greatest(F.lit(least), factor * F.coalesce("_typical", F.lit(0.0))), F.lit(True))
+    starts = starts if cut is None else starts | F.coalesce(cut, F.lit(False))
     return x.withColumn("block", F.sum(starts.cast("int")).over(order)).drop("_typical")
 
 
@@ -84,12 +111,22 @@ def gap_before(y0: str, y1: str, over) -> Column:
     return F.greatest(F.lit(0.0), F.col(y0) - F.max(y1).over(over.rowsBetween(Window.unboundedPreceding, -1)))
 
 
-def overlap_pairs(df: DataFrame, scope: list[str], ident: str, start: str, end: str, share: float = 0.5) -> DataFrame:
-    """a, b (a < b): intervals of one scope that overlap more than share of the narrower."""
+def overlap_pairs(df: DataFrame, scope: list[str], ident: str, start: str, end: str, share: float = 0.5, width: float | None = None) -> DataFrame:
+    """a, b (a < b): intervals of one scope that overlap more than share of the narrower.
+
+    With a width, intervals meet by the bins they touch, and a pair counts in the first bin that both touch. Pairs are what the
+    caller asks for: as many as overlap.
+    """
     l = df.select(*scope, F.col(ident).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1"))
     r = df.select(*scope, F.col(ident).alias("b"), F.col(start).alias("b0"), F.col(end).alias("b1"))
+    on = list(scope)
+    if width is not None:
+        l, r, on = l.withColumn("_bin", F.explode(bins(F.col("a0"), F.col("a1"), width))), r.withColumn("_bin", F.explode(bins(F.col("b0"), F.col("b1"), width))), [*scope, "_bin"]
     shared = F.least("a1", "b1") - F.greatest("a0", "b0")
-    return l.join(r, scope).where("a < b").where(shared > share * F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0"))).select(*scope, "a", "b")
+    x = l.join(r, on).where("a < b").where(shared > share * F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0")))
+    if width is not None:
+        x = x.where(F.col("_bin") == F.floor(F.greatest("a0", "b0") / width).cast("long"))
+    return x.select(*scope, "a", "b")
 
 
 def drop_overlapping_extras(df: DataFrame, scope: list[str]) -> DataFrame:

@@ -44,21 +44,25 @@ def quotas(count: int, target: int, mix: tuple[float, float, float]) -> tuple[in
     return easier, max(0, count - easier - harder), harder
 
 
-def select_quota(pool: DataFrame, ident: str, target: int, count: int, mix: tuple[float, float, float], seed: int, grade: str = "grade", band: str | None = None) -> DataFrame:
-    """Up to count rows: each bucket's quota in seeded order (within two grades of the target), shortfalls filled by distance.
+def select_quota(pool: DataFrame, ident: str, target: int, count: int, mix: tuple[float, float, float], seed: int, grade: str = "grade", band: str | None = None, order: list[str] = ()) -> DataFrame:
+    """Up to count rows: each bucket's quota in seeded order (within two grades of the target), shortfalls filled by distance; easy ones
+    first, then by the columns of order.
 
-    Only the chosen few rows of each bucket are ever gathered: window ranks over buckets are limited as they're computed.
+    Ranks in the three buckets near the target are cut at the largest quota as they are made, so a task keeps that many rows of each;
+    what fills up comes from a top-k over all rows.
     """
     d = grade_distance(F.col(grade), target, F.col(band) if band else None)
     bucket = F.when(d == 0, "target").when((d <= 2) & (F.col(grade) < target), "harder").when(d <= 2, "easier").otherwise("far")
     easier, mid, harder = quotas(count, target, mix)
     x = pool.withColumns({"_d": d, "_b": bucket, "_s": seeded(F.col(ident), seed)})
-    ranked = Window.partitionBy("_b").orderBy("_s", ident)
-    kept = x.withColumn("_k", F.row_number().over(ranked))
-    quota = F.when(F.col("_b") == "easier", easier).when(F.col("_b") == "target", mid).when(F.col("_b") == "harder", harder).otherwise(0)
-    kept = kept.withColumn("_in", F.col("_k") <= quota)
-    order = [F.col("_in").desc(), F.col("_d"), F.col("_s"), F.col(ident)]
-    return kept.orderBy(*order).limit(count).withColumn("chosen_by", F.when(F.col("_in"), F.col("_b")).otherwise("fill")).drop("_d", "_b", "_s", "_k", "_in")
+    ranked = x.where("_b <> 'far'").withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy("_s", ident))).where(F.col("_k") <= max(easier, mid, harder, 1))
+    quota = F.when(F.col("_b") == "easier", easier).when(F.col("_b") == "target", mid).otherwise(harder)
+    picks = ranked.where(F.col("_k") <= quota).drop("_k").withColumn("chosen_by", F.col("_b"))
+    # the nearest rows overall: at most count of them are picked already, so twice as many hold all that may fill up
+    near = x.orderBy("_d", "_s", ident).limit(2 * count)
+    fill = near.join(F.broadcast(picks.select(ident)), ident, "left_anti").withColumn("chosen_by", F.lit("fill"))
+    both = picks.unionByName(fill).orderBy((F.col("chosen_by") == "fill"), "_d", "_s", ident).limit(count)
+    return both.drop("_d", "_b", "_s").orderBy(F.col(grade).desc(), *order, ident)
 
 
 def selection_report(pool: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
