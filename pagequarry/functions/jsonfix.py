@@ -119,8 +119,8 @@ def reply_json(s: pd.Series) -> pd.Series:
 def normalise_problem(p: Column) -> Column:
     """A string-typed problem struct as the fixed schema: choices split at circled digits, level from the number it begins with, rounded, flag from its words."""
     level = half_up(F.nullif(F.regexp_extract(F.coalesce(p["difficulty_level"], F.lit("")), r"^\s*([0-9]+(?:\.[0-9]+)?)(?![0-9])", 1), F.lit("")).try_cast("double")).cast("int")
-    listed = F.filter(F.transform(F.from_json(p["choices"], "array<string>"), clean), lambda c: c.isNotNull())
-    split = F.filter(F.transform(F.split(p["choices"], f"(?=[{CIRCLED}])"), clean), lambda c: c.isNotNull())
+    listed = F.filter(F.transform(F.from_json(p["choices"], "array<string>"), lambda c: clean(c)), lambda c: c.isNotNull())
+    split = F.filter(F.transform(F.split(p["choices"], f"(?=[{CIRCLED}])"), lambda c: clean(c)), lambda c: c.isNotNull())
     return F.struct(
         clean(p["problem_number"]).alias("problem_number"),
         clean(p["passage"], PLACEHOLDER).alias("passage"),

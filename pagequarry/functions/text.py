@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -180,13 +180,23 @@ def parse_anchor(line: Column, first_word: Column | None = None) -> Column:
     follows reads as a count or a formula; corrected: a letter was read as a digit. first_word may be a number that the line's text hides.
     """
     raw = F.trim(_spaced(line))
-    t = _compatible(raw)
+    return _anchor(raw, _compatible(raw), None if first_word is None else F.trim(_spaced(first_word)))
+
+
+def with_anchor(df: DataFrame, line: str, out: str, first_word: str | None = None) -> DataFrame:
+    """df with out: parse_anchor of a line, by way of columns that hold its forms, so that the generated code stays small."""
+    word = F.lit(None).cast("string") if first_word is None else F.trim(_spaced(F.col(first_word)))
+    x = df.withColumns({"_raw": F.trim(_spaced(F.col(line))), "_word": word}).withColumn("_form", _compatible(F.col("_raw")))
+    return x.withColumn(out, _anchor(F.col("_raw"), F.col("_form"), F.col("_word"))).drop("_raw", "_form", "_word")
+
+
+def _anchor(raw: Column, t: Column, in_word: Column | None) -> Column:
     round_ = circled_number(F.substring(raw, 1, 1))
     at = lambda c, p, g: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
     major, minor = at(t, LABEL_NUMBER, 2), at(t, LABEL_NUMBER, 3)
     word = F.regexp_replace(F.regexp_extract(t, LABEL_NUMBER, 1), r"\s+", "")
     null = F.lit(None).cast("string")
-    in_word = null if first_word is None else F.trim(_spaced(first_word))
+    in_word = null if in_word is None else in_word
     token = F.coalesce(at(in_word, NUMBER_WORD, 0), at(t, NUMBER_LINE, 0))
     number = F.when(at(in_word, NUMBER_WORD, 0).isNotNull(), at(in_word, NUMBER_WORD, 1)).otherwise(at(t, NUMBER_LINE, 1))
     marked = token.rlike(r"[\])】>.:]|^[\[(【<□]")

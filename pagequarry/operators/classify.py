@@ -177,13 +177,10 @@ def normalise_types(
         guess = F.coalesce(guess, F.col("auto_type"))
     x = x.withColumn("_guess", guess)
     if subject_types is not None:
-        of = {k: v for k, v in subject_types.items()}
-        fits = reduce(lambda a, b: a | b, [(F.col("_of") == k) & F.col("_guess").isin(*v) for k, v in of.items()])
-        other = [((F.col("_of") == k) & (F.col("_guess") == a), b) for k, m in (remaps or {}).items() for a, b in m.items()]
-        to = F.lit(None).cast("string")
-        for test, b in other:
-            to = F.when(test, F.lit(b)).otherwise(to)
-        guess = F.when(~F.col("_of").isin(*of) | fits, F.col("_guess")).otherwise(to)
+        both = F.concat_ws("|", "_of", "_guess")
+        fits = ~F.col("_of").isin(*subject_types) | both.isin(*(f"{k}|{t}" for k, v in subject_types.items() for t in v))
+        other = {f"{k}|{a}": b for k, m in (remaps or {}).items() for a, b in m.items()}
+        guess = F.when(fits, F.col("_guess")).otherwise(F.try_element_at(_map(other), both) if other else F.lit(None).cast("string"))
     else:
         guess = F.col("_guess")
     exact = F.try_element_at(_map({ascii_lower_str(l.replace(" ", "")): l for l in labels}), F.col("_key"))

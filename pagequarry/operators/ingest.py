@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import raster
-from ..functions.text import parse_anchor
+from ..functions.text import with_anchor
 from ..sources import connectors
 from ..streaming.ingest import STALE_MS, needs_ocr, needs_strip_retry
 from . import flow, lines, segment
@@ -58,7 +58,7 @@ def text_lines(items: DataFrame, layout: DataFrame) -> DataFrame:
 
 def _merged(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Lines of pages with those of another source put in (operators.lines.merge_lines)."""
-    numbered = lambda df: df.withColumn("a", parse_anchor(F.col("text"), F.col("fw_text"))).withColumns({"number": F.col("a.num"), "token": F.col("a.token")})
+    numbered = lambda df: with_anchor(df, "text", "a", "fw_text").withColumns({"number": F.col("a.num"), "token": F.col("a.token")})
     columns = [*PAGE, *_FIELDS, "fw_x1", "number", "token"]
     full = lambda df, own: numbered(df.withColumns({c: F.lit(None).cast({"fw_text": "string"}.get(c, "double")) for c in ("fw_text", "fw_x0", "fw_x1") if c not in df.columns})).withColumn("_own", F.lit(own)).select(*columns, "_own")
     both = full(base, True).unionByName(full(extra, False)).withColumn("said", F.col("source")).withColumn("source", F.when(F.col("_own"), "primary").otherwise(F.col("source"))).drop("_own")

@@ -113,3 +113,25 @@ def carry_over(new: DataFrame, old: DataFrame, matched: DataFrame, keep: list[st
 def accept_resegment(old_count: int, new_count: int, floor: int = 8, share: float = 0.25) -> bool:
     """False where a re-segmentation lost most of a book's items."""
     return not (old_count >= floor and new_count < share * old_count)
+
+
+def contained(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", words: int = 3, short: int = 200) -> DataFrame:
+    """Pairs of rows of texts and needles where the text contains the needle as it stands.
+
+    Wherever a needle stands, the words inside it (all but its first and last) are whole words of the text: the first few of them are
+    the key of an equi-join with each text's windows of as many words, and what meets is checked. Needles with fewer words inside, at
+    most short of them, are sought in each text.
+    """
+    inside = F.expr(f"slice(_w, 2, {words})")
+    n = needles.withColumn("_w", F.split(F.col(needle), r"\s+"))
+    long = n.where(F.size("_w") >= words + 2).withColumn("_k", F.xxhash64(F.array_join(inside, " "))).drop("_w")
+    t = texts.withColumn("_w", F.split(F.col(text), r"\s+"))
+    windows = F.expr(f"if(size(_w) < {words}, array(), array_distinct(transform(sequence(1, size(_w) - {words - 1}), i -> xxhash64(array_join(slice(_w, i, {words}), ' ')))))")
+    found = t.withColumn("_k", F.explode(windows)).drop("_w").join(long, "_k").drop("_k").where(F.contains(F.col(text), F.col(needle)))
+    few = [r[0] for r in n.where(F.size("_w") < words + 2).select(needle).distinct().limit(short + 1).collect()]
+    if len(few) > short:
+        raise ValueError(f"more than {short} needles of under {words + 2} words")
+    if not few:
+        return found
+    hits = F.explode(F.filter(F.array(*map(F.lit, few)), lambda x: F.contains(F.col(text), x))).alias(needle)
+    return found.unionByName(texts.select("*", hits).join(F.broadcast(n.where(F.size("_w") < words + 2).drop("_w")), needle).select(found.columns))

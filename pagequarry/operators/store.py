@@ -125,6 +125,14 @@ def merge_report(live: DataFrame, backup: DataFrame, key: str, image: str) -> Da
     return both.agg(F.count_if(F.col("bare") & has).alias("kept"), F.count_if(F.col("bare") & ~has).alias("missing"))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); one of this machine only where the executors run here too."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (at or "file:///tmp/checkpoints").rstrip("/")
+
+
 STORES = ("books", "pages", "items")
 
 
@@ -161,7 +169,7 @@ def import_backup(spark: SparkSession, path: str, schemas: dict[str, str]) -> tu
 
 def import_backup_v1(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """Each store's valid rows of an old backup, one JSON object with arrays of books, pages and items; ValueError for other files."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     arrays = whole.select(F.from_json("value", "struct<books: array<string>, pages: array<string>, items: array<string>>", {"mode": "PERMISSIVE"}).alias("j"), "value")
     other = lambda c: F.get_json_object("value", f"$.{c}").isNotNull() & F.col(f"j.{c}").isNull()
     wrong = arrays.where(F.col("j.books").isNull() | other("pages") | other("items"))
@@ -347,6 +355,9 @@ class Snapshots:
         The slices' new contents are written aside first, then swapped in by a dynamic partition overwrite. Without slices the table is
         written anew. Nothing, and None, for no rows.
         """
+        given = f"{self.root}/{name}/given-{uuid.uuid4().hex}"
+        rows.write.parquet(given)  # made once, whatever it takes to make
+        rows = self.spark.read.schema(rows.schema).parquet(given)
         if not rows.limit(1).count():
             return None
         old = self.read(name)

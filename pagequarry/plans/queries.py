@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -229,7 +230,7 @@ def adaptive_blocks(spark, sf_dir):
 def box_join(spark, sf_dir):
     b = _blocks(spark, sf_dir).groupBy("user_id", "block").agg(F.min("at").alias("s"), F.max("at").alias("t"))
     o = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("at"))
-    return geometry.point_in_interval(o, "at", b, "s", "t", ["user_id"]).groupBy("user_id", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"))
+    return geometry.point_in_interval(o, "at", b, "s", "t", ["user_id"], width=86400.0).groupBy("user_id", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"))
 
 
 @query("with w as (select event_type, value, lead(value, 4) over (partition by event_type order by value) - value as d from events) select event_type, round(min(value), 6) as lane from w where d <= 0.05 group by 1")
@@ -261,7 +262,7 @@ def greedy_pair_match(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     a = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("at").alias("a"))
     b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("at").alias("b"))
-    pairs = a.join(b, "user_id").where(F.abs(F.col("a") - F.col("b")) <= 3600).select("user_id", "view_id", "purchase_id", F.abs(F.col("a") - F.col("b")).alias("distance"))
+    pairs = geometry.near_pairs(a, b, ["user_id"], "a", "b", 3600).select("user_id", "view_id", "purchase_id", F.abs(F.col("a") - F.col("b")).alias("distance"))
     return link.one_to_one(pairs, ["user_id"], "view_id", "purchase_id", "distance")
 
 
@@ -275,7 +276,7 @@ def overlap_pairs(spark, sf_dir):
     at = F.col("l_shipdate").cast("timestamp").cast("double")
     i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(at).alias("s"), (F.max(at) + 86400).alias("t"))
     j = i.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")), "id")
-    return geometry.overlap_pairs(j, ["customer"], "id", "s", "t").select("a", "b")
+    return geometry.overlap_pairs(j, ["customer"], "id", "s", "t", width=30 * 86400.0).select("a", "b")
 
 
 _RESTORE = """with live as (select doc_id, text, lang, source, n_chars from documents),
@@ -360,26 +361,27 @@ def text_extract(spark, sf_dir):
     )
 
 
-_ANCHORS = ("3. 다음을", "12) 값을", "(4) 구하시오", "⑳ 마지막", "예제 2-3 함수", "유제 7", "O8. 다음", "1.5배로", "본문", "question 9", "15 미분", "❸ 셋", "[7] 일곱", "  21. 여백", "")
+#: How a line may begin, with {n} for a number: what it is read as (number, style, label, section).
+_ANCHORS = (
+    ("{n}. 다음 ", "n", "plain", None, None), ("{n}) 값을 ", "n", "paren", None, None), ("({n}) 구하시오 ", "n", "paren", None, None), ("[{n}] 일곱 ", "n", "plain", None, None), ("예제 {n} 함수 ", "n", "label", "예제", None),
+    ("유제 3-{n} 함수 ", "n", "label", "유제", "3"), ("문제 {n} 함수 ", "n", "label", None, None), ("{n}: 값 ", "n", "plain", None, None), ("O{n}. 다음 ", "n", "plain", None, None), ("I. 다음 ", "1", "plain", None, None),
+    ("{n} 미분 ", "n", "plain", None, None), ("연습 문제 {n} 함수 ", "n", "label", "연습문제", None), ("１２. 값 ", "12", "plain", None, None), ("⑳ 마지막 ", "20", "circled", None, None), ("1.5배로 ", None, None, None, None), ("  0{n}. 여백 ", "n", "plain", None, None),
+)
+_READ = lambda k: "case v " + " ".join(f"when {i} then {('null' if a[k] is None else a[k] if k in (1, 4) else repr(a[k]))}" for i, a in enumerate(_ANCHORS)) + " end"
 
 
 @query(
-    "select * from (values "
-    + ", ".join(
-        f"('{t}', {n}, {s}, {l}, {c})"
-        for t, n, s, l, c in zip(
-            _ANCHORS,
-            ("3", "12", "4", "20", "3", "7", "8", "null::integer", "null", "9", "15", "3", "7", "21", "null"),
-            ("'plain'", "'paren'", "'paren'", "'circled'", "'label'", "'label'", "'plain'", "null", "null", "'label'", "'plain'", "'circled'", "'paren'", "'plain'", "null"),
-            ("null", "null", "null", "null", "'예제'", "'유제'", "null", "null", "null", "'question'", "null", "null", "null", "null", "null"),
-            ("null::integer", "null", "null", "null", "2", *["null"] * 10),
-        )
-    )
-    + ") v(line, num, style, label, section)"
+    f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as k from documents),
+    x as (select doc_id, k, line, (doc_id + k) % {len(_ANCHORS)} as v, 1 + (doc_id * 7 + k) % 899 as n from l)
+    select doc_id, cast(k as integer) as k, cast({_READ(1)} as integer) as num, {_READ(2)} as style, {_READ(3)} as label, cast({_READ(4)} as integer) as section from x"""
 )
 def anchor_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in _ANCHORS], "line string")
-    return rows.withColumn("a", tx.parse_anchor(F.col("line"))).select("line", "a.num", "a.style", "a.label", "a.section")
+    """Every line of the documents behind one of the ways that a numbered line begins, and how it is read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("k", "line"))
+    kind, n = (F.col("doc_id") + F.col("k")) % len(_ANCHORS), (1 + (F.col("doc_id") * 7 + F.col("k")) % 899).cast("string")
+    begin = F.replace(F.element_at(F.array(*[F.lit(a[0]) for a in _ANCHORS]), (kind + 1).cast("int")), F.lit("{n}"), n)
+    a = tx.with_anchor(d.withColumn("line", F.concat(begin, F.col("line"))), "line", "a")
+    return a.select("doc_id", "k", "a.num", "a.style", "a.label", "a.section")
 
 
 @query(
@@ -414,10 +416,12 @@ def keyword_count(spark, sf_dir):
 
 @query("select doc_id, text, lang, source, n_chars from documents")
 def backup_roundtrip(spark, sf_dir):
-    """Documents as backup lines and back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    lines = d.select(F.to_json(F.struct(F.lit("items").alias("s"), F.struct("*").alias("v")), {"ignoreNullFields": "false"}).alias("value"))
-    return lines.select(F.from_json("value", "s string, v struct<doc_id:bigint,text:string,lang:string,source:string,n_chars:bigint>").alias("j")).select("j.v.*")
+    """Documents written as a backup's items, in files of the shared folder, and read back."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("b").alias("book_id"), "doc_id", "text", "lang", "source", "n_chars")
+    path = f"{store.work_dir(spark)}/backup-{uuid.uuid4().hex}"
+    store.export_backup({"items": d}, path)
+    rows, _ = store.import_backup(spark, path, {"items": "id string, book_id string, doc_id bigint, text string, lang string, source string, n_chars bigint"})
+    return rows["items"].select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query(
