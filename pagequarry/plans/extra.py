@@ -12,7 +12,14 @@ from ..sources import connectors
 from ..streaming import ingest
 from .queries import _PREPARED, query, table
 
-_K, _N = F.col("o_orderkey"), (F.col("o_custkey") % 9000).cast("string")
+
+
+def _key():
+    return F.col("o_orderkey")
+
+
+def _number():
+    return (F.col("o_custkey") % 9000).cast("string")
 
 
 def _variant(key, *options):
@@ -37,7 +44,7 @@ _POINTS = " [4점]", "\n값은 3점", " 13점", " (2 점) 끝", " 2.4점", ""
 def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as solutions that state their answer in one of ten ways, and points in one of six."""
     c = F.concat
-    said = _variant(_K, "[정답] ③", c(F.lit("【정답】 "), _N), c(F.lit("정답) "), _N), c(F.lit("정답 "), _N, F.lit(".")), c(F.lit("정답은 −"), _N), "해답 1. 풀이 정답 ②", "답 2√3", c(F.lit("정답 "), _N, F.lit(" / 7")), "정답률 45%", c(F.lit("답: "), _N, F.lit(".5")))
+    said = _variant(_key(), "[정답] ③", c(F.lit("【정답】 "), _number()), c(F.lit("정답) "), _number()), c(F.lit("정답 "), _number(), F.lit(".")), c(F.lit("정답은 −"), _number()), "해답 1. 풀이 정답 ②", "답 2√3", c(F.lit("정답 "), _number(), F.lit(" / 7")), "정답률 45%", c(F.lit("답: "), _number(), F.lit(".5")))
     t = F.concat(F.lit("풀이\n"), said, _variant(F.col("o_custkey"), *_POINTS))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.extract_answer(t).alias("answer"), tx.extract_points(t).alias("points"))
 
@@ -51,11 +58,11 @@ def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' file names, region labels, cleaned texts and keys."""
     n = F.col("o_custkey").cast("string")
-    label = tx.region_label(F.concat(F.when(_K % 2 == 0, "예제 ").otherwise(" "), F.when(_K % 3 == 0, "4 - ").otherwise(""), n))
-    messy = F.when(_K % 4 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("\n"))).when(_K % 4 == 1, " NULL ").when(_K % 4 == 2, "　").otherwise(F.col("o_orderpriority"))
+    label = tx.region_label(F.concat(F.when(_key() % 2 == 0, "예제 ").otherwise(" "), F.when(_key() % 3 == 0, "4 - ").otherwise(""), n))
+    messy = F.when(_key() % 4 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("\n"))).when(_key() % 4 == 1, " NULL ").when(_key() % 4 == 2, "　").otherwise(F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", tx.safe_name(F.concat("o_orderpriority", F.lit("/"), "o_orderstatus", F.lit(":*"), n)).alias("file_name"), label["label"].alias("label"), label["section"].alias("section"), label["number"].alias("number"),
-        tx.clean(messy).alias("cleaned"), tx.ai_key(F.concat(F.lit("유제 "), n, F.lit("번"))).alias("ai_key"), tx.item_key(F.when(_K % 2 == 0, F.col("o_orderstatus")).otherwise(""), F.col("o_custkey") % 5, _K).alias("item_key"),
+        tx.clean(messy).alias("cleaned"), tx.ai_key(F.concat(F.lit("유제 "), n, F.lit("번"))).alias("ai_key"), tx.item_key(F.when(_key() % 2 == 0, F.col("o_orderstatus")).otherwise(""), F.col("o_custkey") % 5, _key()).alias("item_key"),
     )
 
 
@@ -68,8 +75,8 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latex_and_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as formulas and topics of a model."""
     n = F.col("o_custkey").cast("string")
-    formula = F.concat(F.lit(r"$\dfrac{"), n, F.lit(r"}{\sqrt{"), _K.cast("string"), F.lit(r"}} \times \text{"), "o_orderstatus", F.lit(r"} \sin \pi \le "), (F.col("o_custkey") % 7).cast("string"), F.lit("$"))
-    topic = F.concat(_variant(_K, "수학 II - ", "수학Ⅰ > ", "미적분 2: ", "공통수학 II | ", "물리 - ", "확률과 통계 – "), F.lit("u"), n)
+    formula = F.concat(F.lit(r"$\dfrac{"), n, F.lit(r"}{\sqrt{"), _key().cast("string"), F.lit(r"}} \times \text{"), "o_orderstatus", F.lit(r"} \sin \pi \le "), (F.col("o_custkey") % 7).cast("string"), F.lit("$"))
+    topic = F.concat(_variant(_key(), "수학 II - ", "수학Ⅰ > ", "미적분 2: ", "공통수학 II | ", "물리 - ", "확률과 통계 – "), F.lit("u"), n)
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.latex_to_plain(formula).alias("plain"), jsonfix.subject_of(topic).alias("subject"), jsonfix.unit_of(topic).alias("unit"))
 
 
@@ -209,7 +216,7 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as problems linked to customers as solutions: own answers stay, inferred links bring none."""
     p = table(spark, sf_dir, "orders").select(
-        _K.alias("id"), F.when(_K % 11 != 0, F.col("o_custkey")).alias("solution_id"), F.col("o_orderstatus").alias("answer"), (_K % 5 == 0).alias("answer_manual"), F.when(_K % 2 == 0, _K % 7 == 0).otherwise(F.when(_K % 7 == 0, True)).alias("answer_llm"), (_K % 3 == 0).alias("solution_inferred"),
+        _key().alias("id"), F.when(_key() % 11 != 0, F.col("o_custkey")).alias("solution_id"), F.col("o_orderstatus").alias("answer"), (_key() % 5 == 0).alias("answer_manual"), F.when(_key() % 2 == 0, _key() % 7 == 0).otherwise(F.when(_key() % 7 == 0, True)).alias("answer_llm"), (_key() % 3 == 0).alias("solution_inferred"),
     )
     s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("answer"))
     return link.propagate_answers(p, s).select("id", "answer")
@@ -356,13 +363,13 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with r as (select p_partkey, p_size * 40.0 as w, p_retailprice as h, case when p_size % 4 = 0 then 0 else 2.0 + p_size % 3 end as scale from part),
     u as (select *, 25.4 / 72 / case when scale > 0 then scale else 2.0 end as u from r), k as (select *, u * least(1.0, 87.0 / (w * u), 263.0 / (h * u)) as k from u)
-    select p_partkey, round(w * k, 3) as width, round(h * k, 3) as height from k"""
+    select p_partkey, cast(floor(w * k * 1000 + 0.3333333) as bigint) as width, cast(floor(h * k * 1000 + 0.3333333) as bigint) as height from k"""
 )
 def picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as pictures, fitted into one of two columns of a page."""
+    """Parts as pictures, fitted into one of two columns of a page; in thousandths of a millimetre."""
     scale = F.when(F.col("p_size") % 4 == 0, 0).otherwise(2.0 + F.col("p_size") % 3)
     s = layout.picture_size(F.col("p_size") * 40.0, F.col("p_retailprice"), scale, 2)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(s["width"], 3).alias("width"), F.round(s["height"], 3).alias("height"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.floor(s[c] * 1000 + 0.3333333).cast("long").alias(c) for c in ("width", "height")])
 
 
 @query("select cast(count(*) as bigint) as available, cast(least(50, count(*)) as bigint) as chosen, cast(greatest(0, 70 - least(50, count(*))) as bigint) as shortage from part where p_size % 9 + 1 is not null")
@@ -459,11 +466,11 @@ def contain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a model's replies, in code fences, among prose, with single backslashes and raw line ends; some hold nothing."""
     s = lambda c: c.cast("string")
-    question = F.when(_K % 3 == 0, F.lit('"choices": "① x ② y", ')).otherwise(F.concat(F.lit('"question": "a\\frac b\n'), "o_orderpriority", F.lit('", ')))
-    level = F.concat(F.lit('"difficulty_level": "'), s(_K % 7), F.lit('단계", "has_figure_or_diagram": '), F.when(_K % 2 == 0, '"있음"').otherwise("false"))
-    body = F.concat(F.lit('{"problem_number": "'), s(F.col("o_custkey")), F.lit('", '), question, F.when(_K % 5 != 0, F.concat(F.lit('"topic": "수학 I - '), "o_orderstatus", F.lit('", '))).otherwise(""), level, F.lit("}"))
-    raw = F.when(_K % 11 == 0, "nothing to read").when(_K % 4 == 0, body).when(_K % 4 == 1, F.concat(F.lit('```json\n{"problems": ['), body, F.lit("]}\n```"))).when(_K % 4 == 2, F.concat(F.lit('Here: {"problems": '), body, F.lit("} done"))).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    x = table(spark, sf_dir, "orders").select(_K.alias("id"), F.col("o_custkey").cast("int").alias("n"), raw.alias("raw")).withColumn("found", jsonfix.problems(F.col("raw"))).where("found is not null")
+    question = F.when(_key() % 3 == 0, F.lit('"choices": "① x ② y", ')).otherwise(F.concat(F.lit('"question": "a\\frac b\n'), "o_orderpriority", F.lit('", ')))
+    level = F.concat(F.lit('"difficulty_level": "'), s(_key() % 7), F.lit('단계", "has_figure_or_diagram": '), F.when(_key() % 2 == 0, '"있음"').otherwise("false"))
+    body = F.concat(F.lit('{"problem_number": "'), s(F.col("o_custkey")), F.lit('", '), question, F.when(_key() % 5 != 0, F.concat(F.lit('"topic": "수학 I - '), "o_orderstatus", F.lit('", '))).otherwise(""), level, F.lit("}"))
+    raw = F.when(_key() % 11 == 0, "nothing to read").when(_key() % 4 == 0, body).when(_key() % 4 == 1, F.concat(F.lit('```json\n{"problems": ['), body, F.lit("]}\n```"))).when(_key() % 4 == 2, F.concat(F.lit('Here: {"problems": '), body, F.lit("} done"))).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    x = table(spark, sf_dir, "orders").select(_key().alias("id"), F.col("o_custkey").cast("int").alias("n"), raw.alias("raw")).withColumn("found", jsonfix.problems(F.col("raw"))).where("found is not null")
     x = jsonfix.summarise(x, "found", "n").withColumn("p", F.get("found", "primary"))
     return x.select("id", F.col("p.problem_number").alias("number"), "p.question", F.size("p.choices").alias("choices"), F.col("difficulty").alias("level"), F.col("grade_llm").cast("int").alias("grade"), F.col("p.has_figure_or_diagram").alias("figure"), "topic", F.col("subject_llm").alias("subject"))
 
@@ -473,17 +480,17 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def provider_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as response bodies of four providers."""
-    said = F.concat("o_orderstatus", F.lit(" "), _K.cast("string"))
+    said = F.concat("o_orderstatus", F.lit(" "), _key().cast("string"))
     cut = F.col("o_custkey") % 3 == 0
     end = lambda good: F.when(cut, "length").otherwise(good)
     body = (
-        F.when(_K % 4 == 0, F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), said, F.lit('"}]},"finishReason":"'), end("STOP"), F.lit('"}]}')))
-        .when(_K % 4 == 1, F.concat(F.lit('{"content":[{"type":"text","text":"'), said, F.lit('"}],"stop_reason":"'), end("end_turn"), F.lit('"}')))
-        .when(_K % 4 == 2, F.concat(F.lit('{"choices":[{"message":{"content":"'), said, F.lit('"},"finish_reason":"'), end("stop"), F.lit('"}]}')))
+        F.when(_key() % 4 == 0, F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), said, F.lit('"}]},"finishReason":"'), end("STOP"), F.lit('"}]}')))
+        .when(_key() % 4 == 1, F.concat(F.lit('{"content":[{"type":"text","text":"'), said, F.lit('"}],"stop_reason":"'), end("end_turn"), F.lit('"}')))
+        .when(_key() % 4 == 2, F.concat(F.lit('{"choices":[{"message":{"content":"'), said, F.lit('"},"finish_reason":"'), end("stop"), F.lit('"}]}')))
         .otherwise(F.concat(F.lit('{"message":{"content":"'), said, F.lit('"},"done_reason":"'), end("stop"), F.lit('"}')))
     )
-    who = F.element_at(F.array(*map(F.lit, ("gemini", "anthropic", "openai", "ollama"))), (_K % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(_K.alias("id"), jsonfix.reply_text(who, body).alias("text"), jsonfix.stop_note(who, body).alias("note"))
+    who = F.element_at(F.array(*map(F.lit, ("gemini", "anthropic", "openai", "ollama"))), (_key() % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(_key().alias("id"), jsonfix.reply_text(who, body).alias("text"), jsonfix.stop_note(who, body).alias("note"))
 
 
 @query(
