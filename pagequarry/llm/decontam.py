@@ -16,7 +16,7 @@ Windows are looked up in a bitmap of fixed size before they are sent, so the shu
 itself is exact. An item of fewer words than WIDTH is one window. Values differ only in windows of LEAST words or more.
 
 Defined results: null and empty texts and items match nothing; repeated rows of a document count once; rows that share
-an id but not the text are told apart; an empty benchmark finds nothing; extra columns are ignored.
+an id but not the text are told apart; items without an id are found like others; an empty benchmark finds nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, by_
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
     items = items.select("item_id", F.xxhash64("text").alias("item_key"), "text")
     own = spill(items.mapInArrow(tidied(_scan(list(range(1, WIDTH + 1)), None, ["item_id", "item_key"])), "item_id long, item_key long, h long, pos int, width int, exact boolean, literals boolean, slots array<long>"), "items")
-    size = own.where("exact").groupBy("item_id", "item_key").agg(F.count("*").alias("n_all"), F.count_if("literals").alias("n_literal"))
+    size = own.where("exact").groupBy(F.col("item_id").alias("of_id"), F.col("item_key").alias("of_key")).agg(F.count("*").alias("n_all"), F.count_if("literals").alias("n_literal"))
     cells = own.select(F.explode(F.array(F.pmod("h", F.lit(BITS)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(BITS)))).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)  # at most BITS
     bits = np.zeros(BITS, bool)
     bits[cells] = True
@@ -199,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, by_
         .mapInArrow(tidied(judge), "doc_id long, k1 long, k2 int, item_id long, item_key long, hit array<int>, literal_hit array<int>")
         .groupBy(*pair)
         .agg(n("hit").alias("n_hit"), n("literal_hit").alias("n_literal_hit"))
-        .join(size, ["item_id", "item_key"])
+        .join(size, F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("item_key") == F.col("of_key")))
         .select("*", F.when(literal, F.col("n_literal")).otherwise(F.col("n_all")).alias("n_windows"), F.greatest(of_all, of_literal).alias("coverage"), F.when(literal, F.col("n_literal_hit")).otherwise(F.col("n_hit")).alias("n"))
         .where(F.col("coverage") >= covered)
         .select("doc_id", "k1", "k2", "item_id", F.col("n").alias("n_hit"), "n_windows", "coverage")
