@@ -1,11 +1,13 @@
 """Near copies at a Jaccard similarity of word shingles, every group checked exactly.
 
-Texts with equal shingle sets are one point. Points that share a band of ROWS MinHash values fall into one candidate
-group: each is tied to its band's smallest point, so no pairs are made, and the ties' components hold every pair that
-shares a band. Of two texts at similarity s, (1 - s ** ROWS) ** BANDS share none: 5 in a million at 0.8. Inside a
-candidate group links come from the exact similarities: a breadth-first search compares each point it reaches with those
-not reached yet. A group of over GROUP points is dealt in blocks: each pair of blocks meets in one task, which holds about
-2 * GROUP texts and returns a forest of its links, and components of these are the groups' links.
+Texts with equal shingle sets are one point. Points whose SimHash fingerprints the vantage-point trees link, and points
+that share a band of ROWS MinHash values, fall into one candidate group: each is tied to the smallest point of its band (or
+of its fingerprints' component), so no pairs are made, and the ties' components hold every such pair. The bands are there
+because texts at this similarity mostly differ in more bits than trees can prune by; of two texts at similarity s,
+(1 - s ** ROWS) ** BANDS share none, 5 in a million at 0.8. Inside a candidate group links come from the exact
+similarities: a breadth-first search compares each point it reaches with those not reached yet. A group of over GROUP
+points is dealt in blocks: each pair of blocks meets in one task, which holds about 2 * GROUP texts and returns a forest
+of its links, and components of these are the groups' links.
 
 Defined results: as in simhash; null and empty texts have no shingle and are copies of each other. first marks one row of each
 component; rows that repeat its id and text have the mark too.
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, span_hashes, spill, split_by_marks, steps, texts, tidied, with_row_key
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -59,15 +61,16 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def _points(batches):
     for batch in batches:
-        text, point, band = batch.column("text"), [], []
+        text, point, prints, band = batch.column("text"), [], [], []
         for a, b in steps(text):
             for t in texts(text.slice(a, b - a)):
                 h = shingles(t)
                 point.append(int(mixed(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0]))
+                prints.append(fingerprint(t, SHINGLE))
                 band.append(bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum([len(x) for x in band]))).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*band, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(point, pa.int64()), listed], ["doc_id", "k1", "k2", "point", "bands"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(point, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), listed], ["doc_id", "k1", "k2", "point", "fp", "bands"])
 
 
 def link_similar(sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
@@ -112,17 +115,24 @@ def _in_blocks(held: DataFrame, sizes: DataFrame, group: int) -> DataFrame:
     return x.select("root", "point", "k1", "k2", "blocks", "own", other).select("root", "point", "k1", "k2", "blocks", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """node, root: the candidate groups of the points of prints(point, fp, bands), for points that have company."""
+    balls = components(links(spill(prints.select("fp").distinct(), "prints")))
+    own = prints.select("point", "fp").distinct().join(balls, F.col("fp") == F.col("node"), "left")
+    banded = prints.select("point", F.explode("bands").alias("band")).unionByName(own.select("point", F.xxhash64(F.coalesce("root", "fp"), F.lit("ball")).alias("band")))
+    shared = banded.groupBy("band").agg(F.min("point").alias("u"), F.max("point").alias("most")).where("u < most").select("band", "u")
+    return components(banded.join(shared, "band").select(F.col("point").alias("v"), "u").where("u < v").distinct())
+
+
 def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, k1, k2, component_id (smallest doc_id that links reach) and first of every row of docs(doc_id, text).
 
     first is true for the one text of each component that has the smallest id (nulls last, then by k1, k2).
     """
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long"), "text"))
-    prints = spill(keyed.mapInArrow(tidied(_points), "doc_id long, k1 long, k2 int, point long, bands array<long>"), "points")
+    prints = spill(keyed.mapInArrow(tidied(_points), "doc_id long, k1 long, k2 int, point long, fp long, bands array<long>"), "points")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    banded = prints.select("point", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("point").alias("u"), F.max("point").alias("most")).where("u < most").select("band", "u")
-    groups = spill(components(banded.join(shared, "band").select(F.col("point").alias("v"), "u").where("u < v").distinct()), "candidates")
+    groups = spill(candidates(prints), "candidates")
     least = prints.groupBy("point").agg(F.min(key).alias("least"))
     held = spill(least.join(groups, least.point == groups.node).select("point", "root", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2")), "held")
     sizes = held.groupBy("root").agg(F.count("*").alias("n"))
