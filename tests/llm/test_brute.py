@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from pagequarry.llm import bpe, decontam, nearcopies, quality, queries
 from pagequarry.llm.common import span_hashes
-from test_llm import BASE, brute_votes, jaccard, prose
+from test_llm import BASE, brute_votes, prose
 
 WORDS = re.compile(r"(?:[0-9A-Za-z\u0080-\U0010ffff]|(?<=[0-9])[,.](?=[0-9]))+")
 WIDE = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
@@ -192,10 +192,12 @@ def test_candidates(spark):
 
 
 def brute_groups(rows):
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if root[i] != root[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [a if v == b else v for v in root]
     return root
@@ -215,7 +217,7 @@ def test_pipeline_by_brute_force(spark, tmp_path, labelled):
         for n in range(1 + k % 5):
             w[(n + 1) * len(w) // 7] = "changed"
         rows.append((1000 + k, " ".join(w)))
-    rows += [(2000 + k, f"{prose(rng, 40)}. {re.sub('[0-9]+', '77', items[k % 6][1]) if k % 2 else items[k % 6][1]}. {prose(rng, 40)}") for k in range(12)]
+    rows += [(2000 + k, f"{prose(rng, 40)}. {re.sub(r'\b[0-9]+\b', '77', items[k % 6][1]) if k % 2 else items[k % 6][1]}. {prose(rng, 40)}") for k in range(12)]
     own = ["me@mail.example.com", "10.20.30.40", "4111 1111 1111 1111", "+49 (30) 1234-5678", "300.1.1.1", "4111 1111 1111 1112"]
     rows += [(3000 + k, f"{prose(rng, 40)} {own[k % 6]} and {own[(k + 1) % 6]}, {prose(rng, 30)}") for k in range(18)]
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
