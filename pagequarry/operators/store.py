@@ -296,11 +296,21 @@ def move_report(records: DataFrame, moved: DataFrame, lost: DataFrame) -> DataFr
     return x.select("total", (F.col("placed") - F.col("skipped")).alias("changed"), "failed", "skipped")
 
 
-def storage(records: DataFrame, scope: list[str] = ("book_id",)) -> DataFrame:
-    """scope, pictures, image_bytes, shown: what pictures take, shown as MB (0.1 at least) or, from 1024 MB on, GB."""
+def megabytes(size: Column) -> Column:
+    """A size as MB with one decimal, halves to the even one; 0.1 at least."""
+    return F.format_string("%.1fMB", F.greatest(F.lit(0.1), F.bround(size / 1048576, 1)))
+
+
+def megabytes_or_gigabytes(size: Column) -> Column:
+    """A size as MB (0.1 at least) or, from 1024 MB on, GB; with one decimal, halves up."""
+    mb = size / 1048576
+    return F.when(mb >= 1024, F.format_string("%.1fGB", mb / 1024)).otherwise(F.format_string("%.1fMB", F.greatest(F.lit(0.1), mb)))
+
+
+def storage(records: DataFrame, scope: list[str] = ("book_id",), shown: Callable[[Column], Column] = megabytes_or_gigabytes) -> DataFrame:
+    """scope, pictures, image_bytes, shown: what pictures take, and how that is shown."""
     x = records.groupBy(*scope).agg(F.count_if(F.col("image_bytes") > 0).alias("pictures"), F.coalesce(F.sum("image_bytes"), F.lit(0)).alias("image_bytes"))
-    mb = F.col("image_bytes") / 1048576
-    return x.withColumn("shown", F.when(mb >= 1024, F.format_string("%.1fGB", mb / 1024)).otherwise(F.format_string("%.1fMB", F.greatest(F.lit(0.1), mb))))
+    return x.withColumn("shown", shown(F.col("image_bytes")))
 
 
 class Snapshots:
